@@ -82,6 +82,8 @@ _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _STOP = ", ".join(f"'{w}'" for w in quality.STOP_WORDS)
 
+_LEADS = " || ' ' || ".join(["s", *(f"lead(s, {k}) OVER o" for k in range(1, quality.WINDOW))])
+
 ORACLES: dict[str, str] = {
     "op2_line_dedup": f"""
 WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
@@ -94,8 +96,8 @@ FROM k LEFT JOIN c ON k.key = c.key GROUP BY k.doc_id""",
     "op4_quality_rules": rf"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
     list_filter(string_split(coalesce(text, ''), chr(10)), lambda s: regexp_matches(s, '[^\x20\x09-\x0D]')) AS l FROM documents),
-p AS (SELECT doc_id, generate_subscripts(w, 1) AS i, w FROM t WHERE len(w) >= 8),
-g AS (SELECT doc_id, i, array_to_string(w[i:i+7], ' ') AS g FROM p WHERE i <= len(w) - 7),
+p AS (SELECT doc_id, unnest(w) AS s, generate_subscripts(w, 1) AS i FROM t),
+g AS (SELECT * FROM (SELECT doc_id, i, {_LEADS} AS g FROM p WINDOW o AS (PARTITION BY doc_id ORDER BY i)) WHERE g IS NOT NULL),
 d AS (SELECT g.doc_id, g.i FROM g JOIN (SELECT doc_id, g FROM g GROUP BY ALL HAVING count(*) > 1) r ON g.doc_id = r.doc_id AND g.g = r.g),
 r AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM d, (SELECT unnest(range(8)) AS j) GROUP BY doc_id),
 f AS (SELECT t.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda s: length(s))), 0) AS BIGINT) AS word_chars,
