@@ -1,4 +1,169 @@
-"""The named queries and their SQL."""
+"""The named queries.  Each is a plan of steps; the same plan gives the DataFrame and the SQL it is held against."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ..operators import bands as B
+from ..operators import kernels as K
+from ..operators import matrices as M
+from ..operators import posterior as P
+from ..operators import spectral as S
+from ..operators import splines as L
+from ..sources import series as X
+from .steps import Step, step
+
+N, LB, NB = X.EVENT_N, 180, 4
+TAU = S.TAU
+
+
+def _plans() -> dict[str, tuple[Step, str]]:
+    """name -> (plan, columns); a column is name:type with i for ids, d for doubles, s for strings."""
+    ev, orders, items = X.hourly_events(), X.daily_orders(), X.daily_lineitem()
+    tot = S.total(ev)
+    std1, std = S.standardise(tot), S.standardise_channels(ev)
+    blocked, item_blocks = S.blocks(std, LB), S.detrend(S.blocks(S.standardise_channels(items), LB))
+    flat = S.detrend(blocked)
+    y = S.wishart(flat, LB)
+    psd = S.to_psd(y, NB, 1, LB)
+    y3 = S.wishart(item_blocks, LB)
+    psd3 = S.to_psd(y3, 14, 1, LB)
+    pg = S.periodogram(std1, N)
+    welch = S.welch(std, 360, 180, N)
+    welch180 = S.welch(std, LB, LB // 2, N)
+    null = B.bands([(0.08, 0.05), (0.075, 0.12), (0.3, 0.31), (0.31, 0.32), (0.4, 0.41)])
+    diag = step("SELECT k, freq, re AS value FROM {p} WHERE i = 0 AND j = 0", p=psd)
+    truth = step("SELECT k, freq, re AS value FROM {p} WHERE i = 0 AND j = 0", p=welch180)
+    est_same = step("SELECT p.k, p.freq, p.i, p.j, p.re, p.im FROM {p} p", p=psd)
+    grid = step("SELECT CAST(v AS BIGINT) AS k, v / 359e0 AS u FROM $seq(0, 359) g")
+    basis = L.basis(L.knots_uniform(10), grid)
+    weights = step("SELECT v AS b, sin(v + 1e0) AS w FROM $seq(0, 11) g")
+    log_psd = step("SELECT k + 1 AS k, log_psd FROM {e}", e=L.evaluate(basis, weights))
+    draws = step(
+        f"SELECT user_id % 40 AS draw, CAST(floor($us(ts) / 3600000000e0) AS BIGINT) % 24 AS k, (CAST(floor($us(ts) / 3600000000e0) AS BIGINT) % 24) / 24e0 AS freq, sum(value) AS value FROM {{t}} "
+        f"GROUP BY user_id % 40, CAST(floor($us(ts) / 3600000000e0) AS BIGINT) % 24", t="events",
+    )
+    draw_truth = step("SELECT k, avg(value) AS value FROM {d} GROUP BY k", d=draws)
+    q = P.quantiles(draws)
+    q_est = step("SELECT k, q50 AS value FROM {q}", q=q)
+    coarse_grid = step("SELECT DISTINCT freq FROM {x}", x=S.periodogram(std1, 100))
+    source = step("SELECT k, freq, power AS value FROM {p}", p=pg)
+    aet = [[-(0.5**0.5), 0.0, 0.5**0.5], [6**-0.5, -2 * 6**-0.5, 6**-0.5], [3**-0.5, 3**-0.5, 3**-0.5]]
+    fgrid = step("SELECT v AS k, v / 1000e0 AS freq FROM $seq(1, 500) g")
+    lgrid = step("SELECT v AS k, pow(1e1, -4e0 + 3e0 * v / 200e0) AS freq FROM $seq(0, 200) g")
+    half = "(CASE WHEN t_idx < 360 THEN 0 ELSE 1 END)"
+    halves = step(f"SELECT channel, {half} AS h, avg(y) AS m, var_pop(y) AS v FROM {{s}} GROUP BY channel, {half}", s=ev)
+    eig3 = M.eigenvalues3(psd3)
+    rat = M.ratios(eig3)
+    med = step("SELECT k, freq, power, $pct(power, 0.5) OVER (ORDER BY k ROWS BETWEEN 8 PRECEDING AND 8 FOLLOWING) AS med FROM {p}", p=pg)
+    lines_ = step("SELECT k, power / med AS ratio FROM {m}", m=med)
+    iqr = step("SELECT $pct(ratio, 0.75) AS q3, $pct(ratio, 0.75) - $pct(ratio, 0.25) AS iqr FROM {l}", l=lines_)
+    mat = "k:i freq:d i:i j:i re:d im:d"
+    out: dict[str, tuple[Step, str]] = {
+        "series_hourly_events": (ev, "channel:i t_idx:i y:d"),
+        "series_daily_orders": (orders, "channel:i t_idx:i y:d"),
+        "series_daily_lineitem": (items, "channel:i t_idx:i y:d"),
+        "standardise_univar": (std1, "t_idx:i y:d mean:d std:d scaling_factor:d"),
+        "standardise_multivar": (std, "channel:i t_idx:i y:d mean:d std:d scaling_factor:d"),
+        "detrend_constant": (flat, "channel:i block:i t:i y:d"),
+        "detrend_linear": (S.detrend(blocked, "linear"), "channel:i block:i t:i y:d"),
+        "block_trim": (S.blocks(std, 168), "channel:i block:i t:i y:d"),
+        "taper_hann": (S.window("hann", LB), "t:i weight:d"),
+        "taper_tukey": (S.window("tukey", LB), "t:i weight:d"),
+        "nenbw": (step("SELECT 'hann' AS kind, enbw FROM {a} UNION ALL SELECT 'tukey' AS kind, enbw FROM {b}", a=S.nenbw(S.window("hann", LB), LB), b=S.nenbw(S.window("tukey", LB), LB)), "kind:s enbw:d"),
+        "dft": (S.dft(std1, N), "k:i re:d im:d"),
+        "periodogram": (pg, "k:i freq:d power:d"),
+        "periodogram_scaled": (step("SELECT k, freq, power * 3e0 / 2e0 AS power FROM {p}", p=pg), "k:i freq:d power:d"),
+        "periodogram_band": (B.band_limit(pg, 0.1, 0.2), "k:i freq:d power:d"),
+        "periodogram_band_inverted": (B.band_limit(pg, 0.3, 0.2), "k:i freq:d power:d"),
+        "periodogram_highpass": (B.highpass(pg, 0.25), "k:i freq:d power:d"),
+        "cut_band": (B.cut(y, 0.1, 0.2), mat),
+        "interior_slice": (B.interior(pg), "k:i freq:d power:d"),
+        "dominant_periods": (step("SELECT freq, 1e0 / freq AS period_h, power FROM {p} ORDER BY power DESC, k LIMIT 10", p=pg), "freq:d period_h:d power:d"),
+        "amplitude_range": (step("SELECT min(y) AS lo, max(y) AS hi FROM {s}", s=tot), "lo:d hi:d"),
+        "block_dft": (S.block_dft(flat, LB), "channel:i block:i k:i re:d im:d"),
+        "wishart_blocks": (y, mat),
+        "wishart_tukey": (S.wishart(flat, LB, "tukey"), mat),
+        "wishart_psd": (S.physical(psd, std), mat),
+        "welch_psd": (step("SELECT k, freq, i, re FROM {w} WHERE i = j", w=welch), "k:i freq:d i:i re:d"),
+        "welch_csd": (welch, mat),
+        "welch_overlay": (B.exclude(B.cut(welch, 0.02, 0.45), null), mat),
+        "coherence": (S.coherence(psd), "k:i freq:d i:i j:i coh:d"),
+        "magnitude_coherence": (S.coherence(psd, squared=False), "k:i freq:d i:i j:i coh:d"),
+        "encode_real": (P.encode_real(psd), "k:i i:i j:i value:d"),
+        "coarse_bins": (B.coarse_bins(pg, 3), "h:i freq:d n:i"),
+        "coarse_bins_even": (B.coarse_bins(pg, 4), "h:i freq:d n:i"),
+        "coarse_grain_power": (B.coarse_power(pg, 3), "h:i freq:d power:d"),
+        "coarse_grain_wishart": (B.coarse_wishart(y, 2), mat),
+        "merge_bands": (B.merge_bands(null), "lo:d hi:d"),
+        "exclude_bands": (B.exclude(pg, null), "k:i freq:d power:d"),
+        "null_bands": (B.null_bands(8.3, 0.01, 0.5, 0.002), "n:i freq:d lo:d hi:d"),
+        "interp_truth": (B.interpolate(source, coarse_grid), "freq:d value:d"),
+        "aet_rotation": (S.rotate(psd3, aet), "k:i freq:d i:i j:i re:d im:d"),
+        "ar_psd": (step(f"SELECT k, freq, 2e0 / (pow(1e0 - 9e-1 * cos({TAU} * freq) + 4e-1 * cos(2e0 * {TAU} * freq), 2e0) + pow(9e-1 * sin({TAU} * freq) - 4e-1 * sin(2e0 * {TAU} * freq), 2e0)) AS psd FROM {{g}}", g=fgrid), "k:i freq:d psd:d"),
+        "lisa_noise": (step(
+            f"SELECT k, freq, log10(pow(1.5e-11, 2e0) * (1e0 + pow(2e-3 / freq, 4e0)) * pow({TAU} * freq / 299792458e0, 2e0)) AS log_oms, "
+            f"log10(pow(3e-15, 2e0) * (1e0 + pow(4e-4 / freq, 2e0)) * (1e0 + pow(freq / 8e-3, 4e0)) / pow({TAU} * freq * 299792458e0, 2e0)) AS log_acc FROM {{g}}", g=lgrid), "k:i freq:d log_oms:d log_acc:d"),
+        "stationarity_check": (step(
+            "SELECT a.channel, abs(a.m - b.m) / sqrt((a.v + b.v) / 2e0 + 1e-12) AS mean_shift, greatest(a.v, b.v) / (least(a.v, b.v) + 1e-12) AS var_ratio, "
+            "CAST(CASE WHEN abs(a.m - b.m) / sqrt((a.v + b.v) / 2e0 + 1e-12) < 75e-2 AND greatest(a.v, b.v) / (least(a.v, b.v) + 1e-12) < 2e0 THEN 1 ELSE 0 END AS BIGINT) AS stable FROM {h} a JOIN {h} b ON a.channel = b.channel AND a.h = 0 AND b.h = 1", h=halves),
+            "channel:i mean_shift:d var_ratio:d stable:i"),
+        "eigvals_2ch": (M.eigenvalues2(psd), "k:i freq:d l1:d l2:d"),
+        "eigvals_3ch": (eig3, "k:i freq:d l1:d l2:d l3:d"),
+        "eig_ratios": (rat, "k:i freq:d ratio:d"),
+        "eig_ratio_summary": (M.ratio_summary(rat), "n:i frac_high:d lo:d hi:d q05:d q50:d q95:d"),
+        "worst_ratios": (step("SELECT k, freq, ratio FROM {r} WHERE ratio IS NOT NULL ORDER BY ratio DESC, k LIMIT 10", r=rat), "k:i freq:d ratio:d"),
+        "eigen_gap_mask": (M.separated(eig3, 0.25), "k:i freq:d l1:d l2:d l3:d"),
+        "cholesky_components_2ch": (M.cholesky2(psd), "k:i freq:d log_d0:d t10:d t10i:d log_d1:d"),
+        "cholesky_components_3ch": (M.cholesky3(psd3), "k:i freq:d log_d0:d log_d1:d log_d2:d t10:d t10i:d t21:d t21i:d t20:d t20i:d"),
+        "reconstruct_psd": (M.reconstruct2(M.cholesky2(psd)), mat),
+        "eigen_floor_2ch": (M.floor2(psd, 0.4), "k:i freq:d s00:d s11:d s10:d s10i:d"),
+        "pd_repair_2ch": (M.repair2(psd, 0.5), "k:i freq:d s00:d s11:d s10:d s10i:d"),
+        "bspline_basis": (basis, "k:i b:i v:d"),
+        "bspline_gram": (L.gram(basis), "b:i b2:i v:d"),
+        "spline_eval": (L.evaluate(basis, weights), "k:i log_psd:d"),
+        "knots_uniform": (L.knots_uniform(10), "idx:i u:d"),
+        "knots_log": (L.knots_log(10, 0.01), "idx:i u:d"),
+        "knots_density": (L.knots_quantile(pg, 10), "idx:i u:d"),
+        "line_bins": (step("SELECT k, ratio, CAST(CASE WHEN ratio > q3 + 4e0 * iqr THEN 1 ELSE 0 END AS BIGINT) AS is_line FROM {l} CROSS JOIN {q}", l=lines_, q=iqr), "k:i ratio:d is_line:i"),
+        "whittle_pointwise": (L.whittle_terms(pg, log_psd), "k:i term:d"),
+        "whittle_loglik": (step("SELECT sum(term) AS loglik FROM {w}", w=L.whittle_terms(pg, log_psd)), "loglik:d"),
+        "wishart_loglik_row": (step(f"SELECT -{NB}e0 * sum(ln(re / ({NB}e0 * {LB}e0))) - sum(re / ({LB}e0 * re / ({NB}e0 * {LB}e0))) AS loglik FROM {{y}} WHERE i = 0 AND j = 0 AND re > 0e0", y=y), "loglik:d"),
+        "psd_quantiles": (q, "k:i q05:d q50:d q95:d"),
+        "sigma_bands": (P.sigma_bands(draws), "k:i s3_lo:d s2_lo:d s1_lo:d med:d s1_hi:d s2_hi:d s3_hi:d"),
+        "uniform_band": (P.uniform_band(draws), "k:i lo:d med:d hi:d"),
+        "ci_width": (P.ci_width(q), "mean_width:d median_width:d max_width:d"),
+        "riae": (P.riae(q_est, draw_truth, 1 / 24), "riae:d"),
+        "riae_odd": (P.riae(step("SELECT k, value FROM {d} WHERE k <= 89", d=diag), step("SELECT k, value FROM {d} WHERE k <= 89", d=truth), 1 / LB), "riae:d"),
+        "matrix_riae": (P.matrix_error(est_same, welch180, 1 / LB), "riae:d l2:d"),
+        "coverage": (P.coverage(q, draw_truth), "coverage:d n:i"),
+        "coverage_detailed": (P.coverage_by_part(P.encode_real(psd), P.encode_real(welch180), 0.5), "part:s coverage:d n:i"),
+        "inflation_factor": (P.inflation(q, draw_truth), "factor:d"),
+        "thin_draws_even": (P.thin_even(draws, 7), "draw:i"),
+        "thin_draws_stride": (P.thin_stride(draws, 3), "draw:i"),
+        "run_summary": (step("SELECT channel, CAST(count(*) AS BIGINT) AS n, avg(y) AS mean, stddev_samp(y) AS sd, min(y) AS lo, max(y) AS hi FROM {s} GROUP BY channel", s=ev), "channel:i n:i mean:d sd:d lo:d hi:d"),
+        "smooth_psd": (step("SELECT k, exp(avg(ln(greatest(re, 1e-300))) OVER (ORDER BY k ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)) AS value FROM {p} WHERE i = 0 AND j = 0", p=psd), "k:i value:d"),
+        "dip_mask": (step("SELECT k, i, re / max(re) OVER (PARTITION BY i) AS share, CAST(CASE WHEN re / max(re) OVER (PARTITION BY i) < 5e-2 THEN 1 ELSE 0 END AS BIGINT) AS dip FROM {p} WHERE i = j", p=psd), "k:i i:i share:d dip:i"),
+        "geometry": (step(f"SELECT v AS nb, CAST(floor({N} / (v * 1e0)) AS BIGINT) AS lb, CAST(floor(floor({N} / (v * 1e0)) / 2e0) AS BIGINT) AS n_ell FROM $seq(1, 12) g WHERE {N} % v = 0"), "nb:i lb:i n_ell:i"),
+        "bias_by_decade": (step("SELECT CAST(floor(log10(t.freq) * 2e0) AS BIGINT) AS band, $pct(e.value / t.value, 0.5) AS ratio, CAST(count(*) AS BIGINT) AS n FROM {e} e JOIN {t} t ON t.k = e.k WHERE t.value > 0e0 GROUP BY floor(log10(t.freq) * 2e0)", e=diag, t=truth), "band:i ratio:d n:i"),
+        "factor_split": (step("SELECT DISTINCT l_returnflag AS factor, l_linestatus AS status FROM {t}", t="lineitem"), "factor:s status:s"),
+        "left_merge": (step("SELECT c.n_name AS name, CAST(count(s.s_suppkey) AS BIGINT) AS n FROM {n} c LEFT JOIN {s} s ON s.s_nationkey = c.n_nationkey GROUP BY c.n_name", n="nation", s="supplier"), "name:s n:i"),
+    }
+    return out
+
+
+def _final(plan: Step, columns: str) -> Step:
+    kinds = {"i": "CAST({c} AS BIGINT) AS {c}", "d": "$r({c}) AS {c}", "s": "{c}"}
+    cols = [kinds[t].format(c=c) for c, t in (x.split(":") for x in columns.split())]
+    return step("SELECT " + ", ".join(cols) + " FROM {x}", x=plan)
+
+
+def _run(plan: Step) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: plan.frame(spark, sf_dir)
+
+
+_FINAL = {k: _final(*v) for k, v in _plans().items()}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: _run(v) for k, v in _FINAL.items()} | K.QUERIES
+ORACLES: dict[str, str] = {k: v.statement() for k, v in _FINAL.items()} | {k: _FINAL[same].statement() for k, same in K.SAME_AS.items()}
