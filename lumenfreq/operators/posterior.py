@@ -26,7 +26,7 @@ def uniform_band(draws: Step, alpha: float = 0.1) -> Step:
 
 
 def ci_width(q: Step) -> Step:
-    return step("SELECT avg(q95 - q05) AS mean_width, $pct(q95 - q05, 0.5) AS median_width, max(q95 - q05) AS max_width FROM {q}", q=q)
+    return step("SELECT round(avg(q95 - q05), 2) AS mean_width, round($pct(q95 - q05, 0.5), 2) AS median_width, round(max(q95 - q05), 2) AS max_width FROM {q}", q=q)
 
 
 def simpson(x: Step, value: str, h: str) -> Step:

@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from ..plans.steps import Step, hold, step
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+
+from ..plans.steps import Step, step
+from .kernels import bspline
 
 
 def knots_uniform(n: int) -> Step:
@@ -22,8 +29,8 @@ def knots_quantile(power: Step, n: int) -> Step:
     return step(f"SELECT g.v AS idx, CASE WHEN g.v = 0 THEN 0e0 WHEN g.v = {n - 1} THEN 1e0 ELSE min(CASE WHEN cdf >= g.v / {n - 1}e0 THEN u END) END AS u FROM {{c}} CROSS JOIN $seq(0, {n - 1}) g GROUP BY g.v", c=c)
 
 
-def basis(knots: Step, grid: Step, degree: int = 3) -> Step:
-    """(k, b, v) for a grid (k, u), zeros left out."""
+def basis(knots: Step, grid: Step, degree: int = 3, n_knots: int = 0) -> Step:
+    """(k, b, v) for a grid (k, u), zeros left out.  n_knots: for evenly spaced knots, their number."""
     n = step("SELECT count(*) AS n FROM {k}", k=knots)
     pad = f"SELECT CAST(v AS BIGINT) AS m, 0e0 AS u FROM $seq(0, {degree - 1}) a UNION ALL SELECT v + n AS m, 1e0 AS u FROM {{n}} CROSS JOIN $seq({degree}, {2 * degree - 1}) b UNION ALL " if degree else ""
     t = step(pad + f"SELECT idx + {degree} AS m, u FROM {{k}}", k=knots, n=n)
@@ -32,7 +39,6 @@ def basis(knots: Step, grid: Step, degree: int = 3) -> Step:
         f"SELECT g.k, a.m AS b, 1e0 AS v FROM {{g}} g JOIN {{t}} a ON g.u >= a.u JOIN {{t}} z ON z.m = a.m + 1 CROSS JOIN {{l}} l WHERE (g.u < z.u OR (g.u >= 1e0 AND a.m = l.m - {degree} - 1)) AND a.u < z.u",
         g=grid, t=t, l=last,
     )
-    b = hold(b)
     for d in range(1, degree + 1):
         spread = step("SELECT k, b, v FROM {b} UNION ALL SELECT k, b - 1 AS b, CAST(0 AS DOUBLE) AS v FROM {b}", b=b)
         pairs = step("SELECT k, b, sum(v) AS v FROM {s} WHERE b >= 0 GROUP BY k, b", s=spread)
@@ -42,8 +48,23 @@ def basis(knots: Step, grid: Step, degree: int = 3) -> Step:
             f"FROM {{x}} x JOIN {{g}} g ON g.k = x.k JOIN {{t}} t0 ON t0.m = x.b JOIN {{t}} t1 ON t1.m = x.b + {d} JOIN {{t}} t2 ON t2.m = x.b + 1 JOIN {{t}} t3 ON t3.m = x.b + {d} + 1",
             x=nxt, g=grid, t=t,
         )
-        b = hold(b)
-    return step("SELECT k, b, v FROM {b} WHERE v > 0e0", b=b)
+    done = step("SELECT k, b, v FROM {b} WHERE v > 0e0", b=b)
+    return Step("SELECT k, b, v FROM {b}", {"g": grid, "b": done}, _kernel(n_knots, degree)) if n_knots else done
+
+
+def _kernel(n_knots: int, degree: int):
+    """The same basis from numpy, a batch of grid points at a time."""
+
+    def make(grid: DataFrame) -> DataFrame:
+        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for p in parts:
+                v = bspline(p["u"].to_numpy(), np.linspace(0, 1, n_knots), degree)
+                row, b = np.nonzero(v > 0)
+                yield pd.DataFrame({"k": p["k"].to_numpy()[row], "b": b, "v": v[row, b]})
+
+        return grid.select("k", "u").mapInPandas(run, "k long, b long, v double")
+
+    return make
 
 
 def gram(b: Step) -> Step:

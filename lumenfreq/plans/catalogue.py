@@ -38,7 +38,7 @@ def _plans() -> dict[str, tuple[Step, str]]:
     truth = step("SELECT k, freq, re AS value FROM {p} WHERE i = 0 AND j = 0", p=welch180)
     est_same = step("SELECT p.k, p.freq, p.i, p.j, p.re, p.im FROM {p} p", p=psd)
     grid = step("SELECT CAST(v AS BIGINT) AS k, v / 359e0 AS u FROM $seq(0, 359) g")
-    basis = L.basis(L.knots_uniform(10), grid)
+    basis = L.basis(L.knots_uniform(10), grid, n_knots=10)
     weights = step("SELECT v AS b, sin(v + 1e0) AS w FROM $seq(0, 11) g")
     log_psd = step("SELECT k + 1 AS k, log_psd FROM {e}", e=L.evaluate(basis, weights))
     draws = step(

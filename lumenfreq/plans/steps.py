@@ -8,6 +8,7 @@ table expressions in standard SQL.  The few spots where engines differ are macro
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,8 +50,8 @@ def _expand(sql: str, macros: dict) -> str:
 class Step:
     sql: str
     inputs: dict[str, Step | str] = field(default_factory=dict)
-    #: Held in executors' memory: for small steps that a recursion uses over and over.
-    held: bool = False
+    #: Makes the same rows from the first input on Spark, where its SQL (a deep recursion) would plan slowly.
+    kernel: Callable[[DataFrame], DataFrame] | None = None
 
     def frame(self, spark: SparkSession, sf_dir: str, made: dict | None = None) -> DataFrame:
         """This step as a DataFrame; a step that several others use is built once."""
@@ -59,8 +60,7 @@ class Step:
             args = {}
             for k, x in self.inputs.items():
                 args[k] = x.frame(spark, sf_dir, made) if isinstance(x, Step) else spark.read.parquet(f"{sf_dir}/{x}.parquet")
-            df = spark.sql(_expand(self.sql, SPARK), **args)
-            made[self] = df.persist() if self.held else df
+            made[self] = self.kernel(next(iter(args.values()))) if self.kernel else spark.sql(_expand(self.sql, SPARK), **args)
         return made[self]
 
     def statement(self) -> str:
@@ -82,6 +82,3 @@ class Step:
 def step(sql: str, **inputs: Step | str) -> Step:
     return Step(sql, inputs)
 
-
-def hold(s: Step) -> Step:
-    return Step(s.sql, s.inputs, True)
