@@ -6,8 +6,8 @@
 2. Each class emits the postings of its prefix: the n - ceil(t n) + 1 rarest n-grams, by the sketch's frequency class
    and then by hash, one order for all.  Two sets of similarity t or more share an n-gram of their prefixes.
 3. Postings meet by n-gram.  Within an n-gram, candidates pass the length, positional and suffix filters.  In a first
-   round only three pivots of each n-gram are paired with the others; members found to be connected then are not paired
-   again, which keeps a group of near copies linear.  The second round pairs all that is left: no pair of different
+   round only three pivots of frequent n-grams are paired with the others; members found to be connected then are not
+   paired again, which keeps a group of near copies linear.  The second round pairs all that is left: no pair of different
    components goes untested, so components are exact.
 4. Each candidate pair is verified once on the exact sets of both texts.
 
@@ -35,6 +35,9 @@ from .shared import materialise, n_partitions, text_of
 SKETCH_BITS = 21
 BLOCKS = 32
 SALTS = 16
+#: N-grams of at most so many classes pair them all; larger ones go through pivots first, one in PIVOT_PART of them.
+SMALL = 32
+PIVOT_PART = 8
 _MOST_WORDS = 500_000
 
 
@@ -186,39 +189,76 @@ def _bytes_of(sig: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(sig).view(np.uint8).reshape(-1, 8).astype(np.int16)
 
 
+def _whole(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Batches sorted by key, dealt anew so that no key is in two of them."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        k = b.column(key).to_numpy()
+        cut = int(np.searchsorted(k, k[-1]))
+        if cut:
+            yield pa.Table.from_batches([*held, b.slice(0, cut)])
+            held = [b.slice(cut)]
+        elif held and held[-1].column(key)[0].as_py() != int(k[0]):
+            yield pa.Table.from_batches(held)
+            held = [b]
+        else:
+            held.append(b)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _fit(n, pos, sig, i, j, percent: int) -> np.ndarray:
+    """Which of the pairs of rows (i, j) pass the length, positional and suffix filters."""
+    a, b = n[i], n[j]
+    must = needed(a, b, percent)
+    ok = 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
+    ok &= 1 + np.minimum(a - pos[i] - 1, b - pos[j] - 1) >= must
+    return ok & ((a + b - np.abs(sig[i] - sig[j]).sum(axis=-1)) // 2 >= must)
+
+
 def candidates(postings: DataFrame, labels: DataFrame | None, percent: int) -> DataFrame:
-    """Distinct (a, b) that pass the filters.  Without labels: those with a pivot of each n-gram (at the quartiles of
-    size).  With labels (node, label): all others whose labels differ."""
+    """Distinct (a, b) that pass the filters, written to the shared folder.
+
+    Without labels: for a part of the n-grams that more than SMALL classes share, the pairs with its pivots (at the
+    quartiles of size).  With labels (node, label): all pairs whose labels differ, of all n-grams.
+    """
     spark = postings.sparkSession
-    x = postings.withColumn("label", F.col("cls"))
-    if labels is not None:
-        x = postings.join(labels.withColumnsRenamed({"node": "cls"}), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     last = labels is not None
+    if last:
+        x = postings.join(labels.withColumnsRenamed({"node": "cls"}), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    else:
+        x = postings.filter(F.pmod("gram", F.lit(PIVOT_PART)) == 0).withColumn("label", F.col("cls"))
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in _runs(batches, "gram"):
-            c, n, pos, label = (g.column(k).to_numpy() for k in ("cls", "size", "pos", "label"))
-            if (label == label[0]).all():
-                continue
-            o = np.lexsort((c, n))
-            c, n, pos, label = c[o], n[o].astype(np.int64), pos[o].astype(np.int64), label[o]
-            sig = _bytes_of(g.column("sig").to_numpy()[o])
-            pivot = np.zeros(len(c), bool)
-            pivot[[len(c) // 4, len(c) // 2, 3 * len(c) // 4]] = True
-            for i in np.flatnonzero(~pivot if last else pivot):
-                low = i + 1 if last else int(np.searchsorted(n, -(-n[i] * percent // 100)))  # length filter
-                j = np.arange(low, int(np.searchsorted(n, n[i] * 100 // percent, side="right")))
-                j = j[(label[j] != label[i]) & ~pivot[j]] if last else j[(j != i) & ~(pivot[j] & (j < i))]
-                must = needed(n[i], n[j], percent)
-                ok = 1 + np.minimum(n[i] - pos[i] - 1, n[j] - pos[j] - 1) >= must  # positional filter
-                apart = np.abs(sig[j] - sig[i]).sum(axis=1)
-                j = j[ok & ((n[i] + n[j] - apart) // 2 >= must)]  # suffix filter
-                if len(j):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(c[i], c[j])), pa.array(np.maximum(c[i], c[j]))], names=["a", "b"])
+        for t in _whole(batches, "gram"):
+            gram, c, n, pos, label = (t.column(k).to_numpy() for k in ("gram", "cls", "size", "pos", "label"))
+            n, pos, sig = n.astype(np.int64), pos.astype(np.int64), _bytes_of(t.column("sig").to_numpy())
+            start = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+            size = np.diff(np.append(start, len(gram)))
+            found: list[tuple[np.ndarray, np.ndarray]] = []
+            small = np.repeat(size <= SMALL, size)
+            for d in range(1, int(size[size <= SMALL].max(initial=1)) if last else 1):
+                i = np.flatnonzero(small[:-d] & (gram[:-d] == gram[d:]) & (label[:-d] != label[d:]))
+                i = i[_fit(n, pos, sig, i, i + d, percent)]
+                found.append((i, i + d))
+            for s, m in zip(start[size > SMALL], size[size > SMALL], strict=True):
+                o = s + np.argsort(n[s : s + m], kind="stable")
+                for q in range(m) if last else sorted({m // 4, m // 2, 3 * m // 4}):
+                    j = o[q + 1 :] if last else np.delete(o, q)
+                    j = j[label[j] != label[o[q]]]
+                    i = np.full(len(j), o[q])
+                    ok = _fit(n, pos, sig, i, j, percent)
+                    found.append((i[ok], j[ok]))
+            if found:
+                i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+                ab = np.unique(np.stack([np.minimum(c[i], c[j]), np.maximum(c[i], c[j])]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(ab[0]), pa.array(ab[1])], names=["a", "b"])
 
     cols = ["gram", "cls", "size", "pos", "sig", "label"]
     met = x.select(cols).repartition(n_partitions(spark), "gram").sortWithinPartitions("gram").mapInArrow(pair, "a long, b long")
-    return met.distinct()
+    return materialise(met.distinct(), "pairs")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
@@ -258,10 +298,9 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     texts = materialise(hashed.mapInArrow(_of_class(n), "cls long, text string").dropDuplicates(["cls"]), "texts")
     links = materialise(verify(candidates(postings, None, percent), texts, n, percent), "links")
     labels = materialise(components(links), "labels")
-    more = materialise(verify(candidates(postings, labels, percent), texts, n, percent), "links")
-    if more.limit(1).count():
-        star = labels.filter("node != label").select(F.col("node").alias("a"), F.col("label").alias("b"))
-        labels = components(more.unionByName(star))
+    more = verify(candidates(postings, labels, percent), texts, n, percent)
+    star = labels.filter("node != label").select(F.col("node").alias("a"), F.col("label").alias("b"))
+    labels = components(more.unionByName(star))
     named = classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     least = named.groupBy("label").agg(F.min("first").alias("component_id"))
     by_class = named.select("cls", "label").join(least, "label").select("cls", "component_id")
