@@ -74,7 +74,7 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source
         hist = hist.withColumns({"before": F.coalesce(F.sum("n").over(run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
         hist = hist.join(plan.select(F.col("source").alias("s"), "left"), F.col("source").eqNullSafe(F.col("s"))).filter((F.col("before") <= F.col("left")) & (F.col("before") + F.col("n") > F.col("left")))
         edge = hist.select(F.col("source").alias("s"), "bucket", "before", "n", "docs")
-        p = plan.join(edge, F.col("source").eqNullSafe(F.col("s")), "left")
+        p = plan.drop("n", "docs").join(edge, F.col("source").eqNullSafe(F.col("s")), "left")
         plan = materialise(
             p.select(
                 "source", "source_size", "target", "passes",

@@ -38,10 +38,10 @@ class Rule:
 #: The threshold table.  Figures are expressions over the columns that `figures` makes.
 RULES = (
     Rule("length_words", "n_words", low=20),
-    Rule("length_word_mean", "word_chars / n_words", low=2, high=20),
-    Rule("symbol_ratio", "n_symbols / n_words", high=0.1),
-    Rule("shout_ratio", "n_shouts / n_words", high=0.2),
-    Rule("stop_word_ratio", "n_stop_words / n_words", low=0.02),
+    Rule("length_word_mean", "word_chars / nullif(n_words, 0)", low=2, high=20),
+    Rule("symbol_ratio", "n_symbols / nullif(n_words, 0)", high=0.1),
+    Rule("shout_ratio", "n_shouts / nullif(n_words, 0)", high=0.2),
+    Rule("stop_word_ratio", "n_stop_words / nullif(n_words, 0)", low=0.02),
     Rule("dup_line_ratio", "n_dup_lines / greatest(n_lines, 1)", high=0.4),
 )
 
