@@ -111,5 +111,7 @@ def score_quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str =
 def keep_quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """The rows that pass, with the columns they came with."""
     packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__lf_row"), docs[text].alias("__lf_text"))
-    kept = score_quality(packed, rules, "__lf_text").filter("kept")
+    # The row number keeps the optimizer from moving the filter below the projections, where it would work out each
+    # figure once for every mention.
+    kept = score_quality(packed, rules, "__lf_text").withColumn("__lf_n", F.monotonically_increasing_id()).filter("kept AND __lf_n >= 0")
     return kept.select(*[F.col("__lf_row")[c].alias(c) for c in docs.columns])
