@@ -6,7 +6,7 @@
 2. Each class emits the postings of its prefix: the n - ceil(t n) + 1 rarest n-grams, by the sketch's frequency class
    and then by hash, one order for all.  Two sets of similarity t or more share an n-gram of their prefixes.
 3. Postings meet by n-gram.  Within an n-gram, candidates pass the length, positional and suffix filters.  In a first
-   round only three pivots of frequent n-grams are paired with the others; members found to be connected then are not
+   round only the least class of a frequent n-gram is paired with the others; members found to be connected then are not
    paired again, which keeps a group of near copies linear.  The second round pairs all that is left: no pair of different
    components goes untested, so components are exact.
 4. Each candidate pair is verified once on the exact sets of both texts.
@@ -35,9 +35,8 @@ from .shared import materialise, n_partitions, text_of
 SKETCH_BITS = 21
 BLOCKS = 32
 SALTS = 16
-#: N-grams of at most so many classes pair them all; larger ones go through pivots first, one in PIVOT_PART of them.
+#: N-grams of at most so many classes pair them all; larger ones go through a pivot first.
 SMALL = 32
-PIVOT_PART = 8
 _MOST_WORDS = 500_000
 
 
@@ -218,18 +217,24 @@ def _fit(n, pos, sig, i, j, percent: int) -> np.ndarray:
     return ok & ((a + b - np.abs(sig[i] - sig[j]).sum(axis=-1)) // 2 >= must)
 
 
-def candidates(postings: DataFrame, labels: DataFrame | None, percent: int) -> DataFrame:
-    """Distinct (a, b) that pass the filters, written to the shared folder.
+def pivot_candidates(postings: DataFrame, percent: int) -> DataFrame:
+    """Distinct (a, b) that pass the filters: of each n-gram that more than SMALL classes share, its least class with each other one.
 
-    Without labels: for a part of the n-grams that more than SMALL classes share, the pairs with its pivots (at the
-    quartiles of size).  With labels (node, label): all pairs whose labels differ, of all n-grams.
+    The least class is the same one for most n-grams of a group of near copies, so such a group gives pairs in line with its size.
     """
+    gap = " + ".join(f"abs((shiftrightunsigned(sig, {8 * k}) & 255) - (shiftrightunsigned(p.sig, {8 * k}) & 255))" for k in range(8))
+    must = f"({percent}L * (size + p.size) + {99 + percent}) div {100 + percent}"
+    pivots = postings.groupBy("gram").agg(F.min(F.struct("cls", "size", "pos", "sig")).alias("p"), F.count("*").alias("n")).filter(F.col("n") > SMALL).select("gram", "p")
+    x = postings.join(pivots, "gram").filter("cls != p.cls").filter(f"100L * least(size, p.size) >= {percent}L * greatest(size, p.size)")
+    x = x.filter(f"1 + least(size - pos - 1, p.size - p.pos - 1) >= {must}").filter(f"(size + p.size - ({gap})) div 2 >= {must}")
+    return materialise(x.select(F.col("p.cls").alias("a"), F.col("cls").alias("b")).distinct(), "pairs")
+
+
+def candidates(postings: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Distinct (a, b) of all n-grams that pass the filters and whose labels (node, label) differ, written to the shared folder."""
     spark = postings.sparkSession
-    last = labels is not None
-    if last:
-        x = postings.join(labels.withColumnsRenamed({"node": "cls"}), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    else:
-        x = postings.filter(F.pmod("gram", F.lit(PIVOT_PART)) == 0).withColumn("label", F.col("cls"))
+    x = postings.join(labels.withColumnsRenamed({"node": "cls"}), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    mixed = x.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("gram")
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _whole(batches, "gram"):
@@ -239,28 +244,40 @@ def candidates(postings: DataFrame, labels: DataFrame | None, percent: int) -> D
             size = np.diff(np.append(start, len(gram)))
             found: list[tuple[np.ndarray, np.ndarray]] = []
             small = np.repeat(size <= SMALL, size)
-            for d in range(1, int(size[size <= SMALL].max(initial=1)) if last else 1):
+            for d in range(1, int(size[size <= SMALL].max(initial=1))):
                 i = np.flatnonzero(small[:-d] & (gram[:-d] == gram[d:]) & (label[:-d] != label[d:]))
                 i = i[_fit(n, pos, sig, i, i + d, percent)]
                 found.append((i, i + d))
             for s, m in zip(start[size > SMALL], size[size > SMALL], strict=True):
-                o = s + np.argsort(n[s : s + m], kind="stable")
-                for q in range(m) if last else sorted({m // 4, m // 2, 3 * m // 4}):
-                    j = o[q + 1 :] if last else np.delete(o, q)
-                    j = j[label[j] != label[o[q]]]
-                    i = np.full(len(j), o[q])
-                    ok = _fit(n, pos, sig, i, j, percent)
-                    found.append((i[ok], j[ok]))
+                found += _across_labels(s + np.argsort(n[s : s + m], kind="stable"), n, pos, sig, label, percent)
             if found:
                 i, j = (np.concatenate(x) for x in zip(*found, strict=True))
                 ab = np.unique(np.stack([np.minimum(c[i], c[j]), np.maximum(c[i], c[j])]), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(ab[0]), pa.array(ab[1])], names=["a", "b"])
 
     cols = ["gram", "cls", "size", "pos", "sig", "label"]
-    met = x.select(cols).repartition(n_partitions(spark), "gram").sortWithinPartitions("gram").mapInArrow(pair, "a long, b long")
+    met = x.join(mixed, "gram").select(cols).repartition(n_partitions(spark), "gram").sortWithinPartitions("gram").mapInArrow(pair, "a long, b long")
     return materialise(met.distinct(), "pairs")
 
 
+def _across_labels(rows: np.ndarray, n, pos, sig, label, percent: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of different labels among rows (by size) that pass the filters.  Rows of the most frequent label are never
+    compared with one another, and no row with sizes too far from its own."""
+    size = n[rows]
+    _, of = np.unique(label[rows], return_inverse=True)
+    common = of == np.bincount(of).argmax()
+    rest = np.flatnonzero(~common)
+    lo, hi = np.searchsorted(size, -(-percent * size // 100)), np.searchsorted(size, 100 * size // percent, side="right")
+    out = []
+    for q in rest:
+        j = np.arange(lo[q], hi[q])
+        j = j[(of[j] != of[q]) & (common[j] | (j > q))]
+        i = np.full(len(j), rows[q])
+        ok = _fit(n, pos, sig, i, rows[j], percent)
+        out.append((i[ok], rows[j][ok]))
+    return out
+
+
 def verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs whose sets are similar enough.  Texts of b go to the task of (a, salt), which holds one set of a at a time."""
     spark = pairs.sparkSession
@@ -296,7 +313,7 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     wanted = postings.select("cls").distinct().join(classes, "cls")
     hashed = own.join(wanted.withColumnRenamed("first", "doc_id"), "doc_id")
     texts = materialise(hashed.mapInArrow(_of_class(n), "cls long, text string").dropDuplicates(["cls"]), "texts")
-    links = materialise(verify(candidates(postings, None, percent), texts, n, percent), "links")
+    links = materialise(verify(pivot_candidates(postings, percent), texts, n, percent), "links")
     labels = materialise(components(links), "labels")
     more = verify(candidates(postings, labels, percent), texts, n, percent)
     star = labels.filter("node != label").select(F.col("node").alias("a"), F.col("label").alias("b"))

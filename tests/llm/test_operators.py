@@ -167,3 +167,38 @@ def test_neighbours(spark):
         hit += len(set(np.lexsort((np.arange(400), -s))[:20]) & set(got[q]))
         assert len(got[q]) == 20
     assert hit >= 0.9 * 400 and 400 not in got and 402 not in got
+
+
+def _brute_components(texts: dict[int, str], n: int, percent: int) -> dict[int, int]:
+    sets = {}
+    for i, t in texts.items():
+        w = t.lower().split()
+        sets[i] = {tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} if w else set()
+    label = {i: i for i in texts}
+
+    def top(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i in texts:
+        for j in texts:
+            if i < j and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                a, b = sorted((top(i), top(j)))
+                label[b] = a
+    return {i: top(i) for i in texts}
+
+
+@pytest.mark.parametrize(("n", "percent"), [(3, 90), (5, 80)])
+def test_groups_that_share_frequent_ngrams(spark, n, percent):
+    rng = np.random.default_rng(3)
+    base = [f"w{k}" for k in range(80)]
+    texts = {}
+    for i in range(260):
+        words = list(base[: 80 - i % 7]) if i % 3 else base[:20] + [f"v{i % 2}x{k}" for k in range(60)]
+        for k in rng.integers(0, len(words), i % 5):
+            words[k] = f"e{rng.integers(0, 40)}"
+        texts[1000 - i] = " ".join(words)
+    got = {r.doc_id: r.component_id for r in ngram_join.similar_components(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), n, percent).collect()}
+    assert got == _brute_components(texts, n, percent)
+    assert len(set(got.values())) < len(got)
