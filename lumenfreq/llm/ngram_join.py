@@ -11,8 +11,8 @@
    components goes untested, so components are exact.
 4. Each candidate pair is verified once on the exact sets of both texts.
 
-The suffix filter bounds the overlap by counts of n-grams in eight parts of the hash space: sets differ in at least the
-sum of the differences of these counts.
+The suffix filter bounds the overlap by the parities of the n-gram counts in 256 parts of the hash space: sets differ in
+at least as many n-grams as they have parts of unequal parity.
 
 Cases: a null text or one without words has no set and links with nothing; fewer words than n are one n-gram;
 repeated rows are in one class; an empty table gives an empty result; other columns aren't read.
@@ -35,6 +35,7 @@ from .shared import materialise, n_partitions, text_of
 SKETCH_BITS = 21
 BLOCKS = 32
 SALTS = 16
+SIG = ("s0", "s1", "s2", "s3")
 #: N-grams of at most so many classes pair them all; larger ones go through a pivot first.
 SMALL = 32
 _MOST_WORDS = 500_000
@@ -78,13 +79,14 @@ def needed(a, b, percent: int):
 
 
 def document_sets(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, n_shingles, cls) for every document, and the frequency class (log2) of each sketch counter."""
+    """(doc_id, n_shingles, cls, s0 to s3: parities) for every document, and the frequency class (log2) of each sketch counter."""
     size = 1 << SKETCH_BITS
+    names = ["doc_id", "n_shingles", "cls", *SIG, "block", "counts"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, used = np.zeros(size, np.int32), False
         for b in batches:
-            cls, count = [], []
+            cls, count, sig = [], [], []
             for raw in b.column(1).cast(pa.binary()).to_pylist():
                 s = shingles(raw, n)
                 sketch += np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size).astype(np.int32) if len(s) > size // 64 else 0
@@ -93,11 +95,13 @@ def document_sets(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
                 used |= bool(len(s))
                 cls.append(_set_id(s) if len(s) else None)
                 count.append(len(s))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(count, pa.int64()), pa.array(cls, pa.int64()), pa.nulls(len(cls), pa.int32()), pa.nulls(len(cls), pa.binary())], names=["doc_id", "n_shingles", "cls", "block", "counts"])
+                sig.append(_parities(s))
+            parts = np.array(sig, np.int64).reshape(len(sig), len(SIG))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(count, pa.int64()), pa.array(cls, pa.int64()), *(pa.array(np.ascontiguousarray(x)) for x in parts.T), pa.nulls(len(cls), pa.int32()), pa.nulls(len(cls), pa.binary())], names=names)
         if used:
             parts = [zlib.compress(x.tobytes(), 1) for x in np.split(sketch, BLOCKS)]
             none = pa.nulls(BLOCKS, pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(range(BLOCKS), pa.int32()), pa.array(parts, pa.binary())], names=["doc_id", "n_shingles", "cls", "block", "counts"])
+            yield pa.RecordBatch.from_arrays([none] * (3 + len(SIG)) + [pa.array(range(BLOCKS), pa.int32()), pa.array(parts, pa.binary())], names=names)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -107,19 +111,20 @@ def document_sets(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
         log = [np.ceil(np.log2(np.maximum(x, 1))).astype(np.uint8).tobytes() for x in sums.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(log, pa.binary())], names=["block", "logs"])
 
-    seen = materialise(docs.mapInArrow(scan, "doc_id long, n_shingles long, cls long, block int, counts binary"), "sets")
+    seen = materialise(docs.mapInArrow(scan, "doc_id long, n_shingles long, cls long, s0 long, s1 long, s2 long, s3 long, block int, counts binary"), "sets")
     order = np.zeros(size, np.uint8)
     for r in seen.filter("block is not null").select("block", "counts").repartition(BLOCKS, "block").mapInArrow(add, "block int, logs binary").collect():  # 2^21 bytes in all
         order[r["block"] * (size // BLOCKS) : (r["block"] + 1) * (size // BLOCKS)] = np.frombuffer(r["logs"], np.uint8)
-    return seen.filter("block is null").select("doc_id", "n_shingles", "cls"), order
+    return seen.filter("block is null").select("doc_id", "n_shingles", "cls", *SIG), order
 
 
-def _signature(s: np.ndarray) -> int:
-    return int(np.minimum(np.bincount((s >> np.uint64(61)).astype(np.int64), minlength=8), 255).astype(np.uint8).view("<i8")[0])
+def _parities(s: np.ndarray) -> np.ndarray:
+    odd = np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view("<i8")
 
 
-def prefix_postings(docs: DataFrame, order: np.ndarray, n: int, percent: int) -> DataFrame:
-    """(gram, cls, size, pos, sig) of n-grams in the prefixes of at least two classes, written to the shared folder."""
+def prefix_postings(docs: DataFrame, classes: DataFrame, order: np.ndarray, n: int, percent: int) -> DataFrame:
+    """(gram, cls, size, pos, s0 to s3) of n-grams in the prefixes of at least two classes, written to the shared folder."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(order)  # 2^21 bytes
     mask = np.uint64(len(order) - 1)
@@ -127,7 +132,7 @@ def prefix_postings(docs: DataFrame, order: np.ndarray, n: int, percent: int) ->
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank, seen = shared.value, set()
         for b in batches:
-            grams, cls, size, pos, sig = [], [], [], [], []
+            grams, cls, size, pos = [], [], [], []
             for raw in b.column(0).cast(pa.binary()).to_pylist():
                 s = shingles(raw, n)
                 if not len(s) or (c := _set_id(s)) in seen:
@@ -140,9 +145,8 @@ def prefix_postings(docs: DataFrame, order: np.ndarray, n: int, percent: int) ->
                 cls.append(np.full(k, c, np.int64))
                 size.append(np.full(k, len(s), np.int32))
                 pos.append(np.arange(k, dtype=np.int32))
-                sig.append(np.full(k, _signature(s), np.int64))
             if grams:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams).view(np.int64)), *(pa.array(np.concatenate(x)) for x in (cls, size, pos, sig))], names=["gram", "cls", "size", "pos", "sig"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams).view(np.int64)), *(pa.array(np.concatenate(x)) for x in (cls, size, pos))], names=["gram", "cls", "size", "pos"])
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in _runs(batches, "gram"):
@@ -151,9 +155,9 @@ def prefix_postings(docs: DataFrame, order: np.ndarray, n: int, percent: int) ->
             if len(first) > 1:
                 yield from g.take(pa.array(np.sort(first))).to_batches()
 
-    posts = docs.select("text").mapInArrow(emit, "gram long, cls long, size int, pos int, sig long")
-    met = posts.repartition(n_partitions(spark), "gram").sortWithinPartitions("gram").mapInArrow(groups, "gram long, cls long, size int, pos int, sig long")
-    return materialise(met, "postings")
+    posts = docs.select("text").mapInArrow(emit, "gram long, cls long, size int, pos int")
+    met = posts.repartition(n_partitions(spark), "gram").sortWithinPartitions("gram").mapInArrow(groups, "gram long, cls long, size int, pos int")
+    return materialise(met.join(classes.select("cls", *SIG), "cls"), "postings")
 
 
 def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -184,10 +188,6 @@ def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _bytes_of(sig: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(sig).view(np.uint8).reshape(-1, 8).astype(np.int16)
-
-
 def _whole(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """Batches sorted by key, dealt anew so that no key is in two of them."""
     held: list[pa.RecordBatch] = []
@@ -214,7 +214,7 @@ def _fit(n, pos, sig, i, j, percent: int) -> np.ndarray:
     must = needed(a, b, percent)
     ok = 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
     ok &= 1 + np.minimum(a - pos[i] - 1, b - pos[j] - 1) >= must
-    return ok & ((a + b - np.abs(sig[i] - sig[j]).sum(axis=-1)) // 2 >= must)
+    return ok & ((a + b - np.bitwise_count(sig[i] ^ sig[j]).sum(axis=-1, dtype=np.int64)) // 2 >= must)
 
 
 def pivot_candidates(postings: DataFrame, percent: int) -> DataFrame:
@@ -222,9 +222,9 @@ def pivot_candidates(postings: DataFrame, percent: int) -> DataFrame:
 
     The least class is the same one for most n-grams of a group of near copies, so such a group gives pairs in line with its size.
     """
-    gap = " + ".join(f"abs((shiftrightunsigned(sig, {8 * k}) & 255) - (shiftrightunsigned(p.sig, {8 * k}) & 255))" for k in range(8))
+    gap = " + ".join(f"bit_count({c} ^ p.{c})" for c in SIG)
     must = f"({percent}L * (size + p.size) + {99 + percent}) div {100 + percent}"
-    pivots = postings.groupBy("gram").agg(F.min(F.struct("cls", "size", "pos", "sig")).alias("p"), F.count("*").alias("n")).filter(F.col("n") > SMALL).select("gram", "p")
+    pivots = postings.groupBy("gram").agg(F.min(F.struct("cls", "size", "pos", *SIG)).alias("p"), F.count("*").alias("n")).filter(F.col("n") > SMALL).select("gram", "p")
     x = postings.join(pivots, "gram").filter("cls != p.cls").filter(f"100L * least(size, p.size) >= {percent}L * greatest(size, p.size)")
     x = x.filter(f"1 + least(size - pos - 1, p.size - p.pos - 1) >= {must}").filter(f"(size + p.size - ({gap})) div 2 >= {must}")
     return materialise(x.select(F.col("p.cls").alias("a"), F.col("cls").alias("b")).distinct(), "pairs")
@@ -239,7 +239,7 @@ def candidates(postings: DataFrame, labels: DataFrame, percent: int) -> DataFram
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _whole(batches, "gram"):
             gram, c, n, pos, label = (t.column(k).to_numpy() for k in ("gram", "cls", "size", "pos", "label"))
-            n, pos, sig = n.astype(np.int64), pos.astype(np.int64), _bytes_of(t.column("sig").to_numpy())
+            n, pos, sig = n.astype(np.int64), pos.astype(np.int64), np.stack([t.column(k).to_numpy() for k in SIG], axis=1)
             start = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
             size = np.diff(np.append(start, len(gram)))
             found: list[tuple[np.ndarray, np.ndarray]] = []
@@ -255,7 +255,7 @@ def candidates(postings: DataFrame, labels: DataFrame, percent: int) -> DataFram
                 ab = np.unique(np.stack([np.minimum(c[i], c[j]), np.maximum(c[i], c[j])]), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(ab[0]), pa.array(ab[1])], names=["a", "b"])
 
-    cols = ["gram", "cls", "size", "pos", "sig", "label"]
+    cols = ["gram", "cls", "size", "pos", *SIG, "label"]
     met = x.join(mixed, "gram").select(cols).repartition(n_partitions(spark), "gram").sortWithinPartitions("gram").mapInArrow(pair, "a long, b long")
     return materialise(met.distinct(), "pairs")
 
@@ -307,10 +307,10 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     100 * intersection >= percent * union over sets of n-word shingles."""
     own = docs.select(docs[id_col].cast("long").alias("doc_id"), text_of(docs, text).alias("text"))
     sets, order = document_sets(own, n)
-    classes = sets.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first"))
-    postings = prefix_postings(own, order, n, percent)
+    classes = sets.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first"), *(F.min(c).alias(c) for c in SIG))
+    postings = prefix_postings(own, classes, order, n, percent)
     # One text for each class that has a posting: found by the least id (rows that share an id may differ, so by class too).
-    wanted = postings.select("cls").distinct().join(classes, "cls")
+    wanted = postings.select("cls").distinct().join(classes.select("cls", "first"), "cls")
     hashed = own.join(wanted.withColumnRenamed("first", "doc_id"), "doc_id")
     texts = materialise(hashed.mapInArrow(_of_class(n), "cls long, text string").dropDuplicates(["cls"]), "texts")
     links = materialise(verify(pivot_candidates(postings, percent), texts, n, percent), "links")
