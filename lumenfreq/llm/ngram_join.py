@@ -66,7 +66,8 @@ def shingles(raw: bytes, n: int) -> np.ndarray:
         for k in range(size):
             out = (out ^ h[k : len(h) - size + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
             out ^= out >> np.uint64(29)
-    return np.unique(out)
+    out.sort()
+    return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
 def _set_id(s: np.ndarray) -> int:
@@ -89,9 +90,7 @@ def document_sets(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
             cls, count, sig = [], [], []
             for raw in b.column(1).cast(pa.binary()).to_pylist():
                 s = shingles(raw, n)
-                sketch += np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size).astype(np.int32) if len(s) > size // 64 else 0
-                if len(s) <= size // 64:
-                    np.add.at(sketch, (s & np.uint64(size - 1)).astype(np.int64), 1)
+                np.add.at(sketch, (s & np.uint64(size - 1)).astype(np.int64), np.ones(len(s), np.int32))
                 used |= bool(len(s))
                 cls.append(_set_id(s) if len(s) else None)
                 count.append(len(s))
@@ -149,45 +148,33 @@ def prefix_postings(docs: DataFrame, classes: DataFrame, order: np.ndarray, n: i
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams).view(np.int64)), *(pa.array(np.concatenate(x)) for x in (cls, size, pos))], names=["gram", "cls", "size", "pos"])
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in _runs(batches, "gram"):
-            c = g.column("cls").to_numpy()
-            _, first = np.unique(c, return_index=True)
-            if len(first) > 1:
-                yield from g.take(pa.array(np.sort(first))).to_batches()
+        # Sorted by n-gram and class: a row stays if it is the first of its class and a neighbour has its n-gram.
+        last, opened = None, None  # the last distinct row, and whether it already went out
+        for b in batches:
+            if not b.num_rows:
+                continue
+            gram, c = b.column("gram").to_numpy(), b.column("cls").to_numpy()
+            new = np.concatenate([[True], (gram[1:] != gram[:-1]) | (c[1:] != c[:-1])])
+            if last is not None and last.column("gram")[0].as_py() == gram[0] and last.column("cls")[0].as_py() == c[0]:
+                new[0] = False
+            at = np.flatnonzero(new)
+            if not len(at):
+                continue
+            g = gram[at]
+            same = np.concatenate([[False], g[1:] == g[:-1]])
+            if last is not None and last.column("gram")[0].as_py() == g[0]:
+                same[0] = True
+                if not opened:
+                    yield last
+            keep = same | np.append(same[1:], False)
+            yield b.take(pa.array(at[keep]))
+            last, opened = b.slice(at[-1], 1), bool(keep[-1])
 
     posts = docs.select("text").mapInArrow(emit, "gram long, cls long, size int, pos int")
-    met = posts.repartition(n_partitions(spark), "gram").sortWithinPartitions("gram").mapInArrow(groups, "gram long, cls long, size int, pos int")
+    met = posts.repartition(n_partitions(spark), "gram").sortWithinPartitions("gram", "cls").mapInArrow(groups, "gram long, cls long, size int, pos int")
     return materialise(met.join(classes.select("cls", *SIG), "cls"), "postings")
 
 
-def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """Batches sorted by key, as one table for each key of two rows or more."""
-    held: list[pa.RecordBatch] = []
-    for b in batches:
-        if not b.num_rows:
-            continue
-        k = b.column(key).to_numpy()
-        cuts = np.flatnonzero(k[1:] != k[:-1]) + 1
-        edges = [0, *cuts.tolist(), len(k)]
-        if held and held[0].column(key)[0].as_py() != int(k[0]):
-            if sum(x.num_rows for x in held) > 1:
-                yield pa.Table.from_batches(held)
-            held = []
-        if len(edges) > 2:
-            head = b.slice(0, edges[1])
-            if held or edges[1] > 1:
-                yield pa.Table.from_batches([*held, head])
-            held = []
-            for a, z in zip(edges[1:-2], edges[2:-1], strict=True):
-                if z - a > 1:
-                    yield pa.Table.from_batches([b.slice(a, z - a)])
-            held = [b.slice(edges[-2])]
-        else:
-            held.append(b)
-    if held and sum(x.num_rows for x in held) > 1:
-        yield pa.Table.from_batches(held)
-
-
 def _whole(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """Batches sorted by key, dealt anew so that no key is in two of them."""
     held: list[pa.RecordBatch] = []
