@@ -226,7 +226,7 @@ def candidates(postings: DataFrame, labels: DataFrame, percent: int) -> DataFram
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _whole(batches, "gram"):
             gram, c, n, pos, label = (t.column(k).to_numpy() for k in ("gram", "cls", "size", "pos", "label"))
-            n, pos, sig = n.astype(np.int64), pos.astype(np.int64), np.stack([t.column(k).to_numpy() for k in SIG], axis=1)
+            n, pos, sig = n.astype(np.int64), pos.astype(np.int64), np.stack([t.column(k).to_numpy() for k in SIG], axis=1).view(np.uint64)
             start = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
             size = np.diff(np.append(start, len(gram)))
             found: list[tuple[np.ndarray, np.ndarray]] = []
