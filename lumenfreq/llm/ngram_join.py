@@ -6,7 +6,7 @@
 2. Each class emits the postings of its prefix: the n - ceil(t n) + 1 rarest n-grams, by the sketch's frequency class
    and then by hash, one order for all.  Two sets of similarity t or more share an n-gram of their prefixes.
 3. Postings meet by n-gram.  Within an n-gram, candidates pass the length, positional and suffix filters.  In a first
-   round only the least class of a frequent n-gram is paired with the others; members found to be connected then are not
+   round only one pivot of a frequent n-gram, the class with fewest rarer n-grams before it, is paired with the others; members found to be connected then are not
    paired again, which keeps a group of near copies linear.  The second round pairs all that is left: no pair of different
    components goes untested, so components are exact.
 4. Each candidate pair is verified once on the exact sets of both texts.
@@ -36,8 +36,10 @@ SKETCH_BITS = 21
 BLOCKS = 32
 SALTS = 16
 SIG = ("s0", "s1", "s2", "s3")
-#: N-grams of at most so many classes pair them all; larger ones go through a pivot first.
+#: N-grams of at most so many classes pair them without a loop.
 SMALL = 32
+#: N-grams of more classes than this go through a pivot first.
+PIVOT_FROM = 4
 _MOST_WORDS = 500_000
 
 
@@ -205,13 +207,14 @@ def _fit(n, pos, sig, i, j, percent: int) -> np.ndarray:
 
 
 def pivot_candidates(postings: DataFrame, percent: int) -> DataFrame:
-    """Distinct (a, b) that pass the filters: of each n-gram that more than SMALL classes share, its least class with each other one.
+    """Distinct (a, b) that pass the filters: of each n-gram that more than PIVOT_FROM classes share, its pivot with each other one.
 
-    The least class is the same one for most n-grams of a group of near copies, so such a group gives pairs in line with its size.
+    The pivot has the n-gram earliest in its prefix (ties: the least class).  In a group of near copies that is the one with
+    fewest n-grams of its own: the same one for most n-grams, and similar to most others, so the group gives pairs in line with its size.
     """
     gap = " + ".join(f"bit_count({c} ^ p.{c})" for c in SIG)
     must = f"({percent}L * (size + p.size) + {99 + percent}) div {100 + percent}"
-    pivots = postings.groupBy("gram").agg(F.min(F.struct("cls", "size", "pos", *SIG)).alias("p"), F.count("*").alias("n")).filter(F.col("n") > SMALL).select("gram", "p")
+    pivots = postings.groupBy("gram").agg(F.min(F.struct("pos", "cls", "size", *SIG)).alias("p"), F.count("*").alias("n")).filter(F.col("n") > PIVOT_FROM).select("gram", "p")
     x = postings.join(pivots, "gram").filter("cls != p.cls").filter(f"100L * least(size, p.size) >= {percent}L * greatest(size, p.size)")
     x = x.filter(f"1 + least(size - pos - 1, p.size - p.pos - 1) >= {must}").filter(f"(size + p.size - ({gap})) div 2 >= {must}")
     return materialise(x.select(F.col("p.cls").alias("a"), F.col("cls").alias("b")).distinct(), "pairs")
