@@ -6,11 +6,13 @@
 2. Centroids are fitted on a sample of at most SAMPLE vectors (by hash of the id), about one for LIST vectors of the
    sample's share.  A graph over the centroids, held in memory, finds centroids near a vector by best-first search.
 3. Every vector goes to its nearest cluster, and a boundary vector (whose next centroids are nearly as near) to several.
-   A cluster with more than CHUNK vectors is split into chunks, so no list is longer.
-4. A query searches the graph and probes the lists whose centroid is within RATIO of its nearest centroid's distance,
+   Neighbouring lists lie together in parts of about 1 / PARTS of all vectors, and of PART at most (a longer list is
+   split into chunks).
+4. A query probes every list whose centroid is within RATIO of its nearest centroid's distance, however many these are,
    and as many more, nearest first, as hold ENOUGH vectors (a query on top of a centroid has no others within any ratio).
-   Queries meet lists by cluster; each task multiplies the queries of a chunk with its vectors, and only the best k of
-   each chunk go on to be merged.
+   All centroids are ranked.  Without clusters most lists are within RATIO, and most vectors are read.  Queries meet the
+   parts of their lists; each task multiplies the queries of a part with all its vectors, and only the best k of each
+   part go on to be merged.
 
 Scores are inner products of the original components in double precision.  Cases: a vector that is null, empty or zero,
 or holds null or non-finite components takes no part, as query or candidate; vectors of another length than the most
@@ -31,11 +33,11 @@ from .shared import materialise, n_partitions
 
 SAMPLE = 40_000
 LIST = 64
-CHUNK = 2_048
+PARTS = 64
+PART = 32_768
 COPIES = 4
 BOUNDARY = 1.15
 RATIO = 1.6
-PROBES = 96
 DEGREE = 24
 #: Lists are probed, near or not, until they hold so many times the answers wanted.
 ENOUGH = 16
@@ -108,6 +110,31 @@ class CentroidGraph:
             dist = np.concatenate([dist, ((self.c[new] - q) ** 2).sum(axis=1)])
 
 
+def parts_of(c: np.ndarray, held: np.ndarray, most: float) -> np.ndarray:
+    """The part of each list: halves along the component that varies most, until a part is one list or holds at most so many vectors."""
+    part, todo, n = np.zeros(len(c), np.int64), [np.arange(len(c))], 0
+    while todo:
+        at = todo.pop()
+        if len(at) == 1 or held[at].sum() <= most:
+            part[at] = n
+            n += 1
+            continue
+        at = at[np.argsort(c[at, c[at].var(axis=0).argmax()], kind="stable")]
+        todo += [at[: len(at) // 2], at[len(at) // 2 :]]
+    return part
+
+
+def probed(q: np.ndarray, c: np.ndarray, held: np.ndarray, enough: int) -> np.ndarray:
+    """Which lists (columns) each query (row) probes: all within RATIO, and the nearest until they hold enough vectors."""
+    d = _distances(q, c)
+    order = np.argsort(d, axis=1, kind="stable")
+    d = np.take_along_axis(d, order, axis=1)
+    before = np.cumsum(held[order], axis=1) - held[order]
+    out = np.zeros(d.shape, bool)
+    np.put_along_axis(out, order, (d <= RATIO**2 * d[:, :1]) | (before < enough), axis=1)
+    return out
+
+
 def usable(v: Column) -> Column:
     """Neither null nor zero, and without null or non-finite components."""
     x = v.cast("array<double>")
@@ -157,37 +184,37 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(at)), *(x.column(c) for c in ("v", "ids", "key"))], names=["list", "v", "ids", "key"])
 
     lists = materialise(base.mapInArrow(assign, "list long, v array<double>, ids array<long>, key long"), "lists")
-    sizes = lists.groupBy("list").count().select("list", F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks"))
-    chunked = lists.join(sizes, "list").select("list", F.pmod("key", "chunks").cast("int").alias("chunk"), F.lit(None).cast("long").alias("query"), "v", "ids")
-
     held = np.zeros(len(graph.c), np.int64)  # vectors in each list
     for r in lists.groupBy("list").count().collect():  # one row for each centroid
         held[r["list"]] = r["count"]
+    part = parts_of(graph.c, held, min(held.sum() / PARTS, PART))
+    chunks = np.maximum(-(-np.bincount(part, weights=held).astype(np.int64) // PART), 1)
+    sizes = spark.createDataFrame([(i, int(p), int(chunks[p])) for i, p in enumerate(part)], "list long, part long, chunks int")  # one row for each centroid
+    chunked = lists.join(sizes, "list").select("part", F.pmod("key", "chunks").cast("int").alias("chunk"), F.lit(None).cast("long").alias("query"), "v", "ids")
 
     # Queries that are equal are searched once, for k + 1 answers, since one of them may be the query itself.
     asked = rows.filter(is_query).groupBy("v").agg(F.min("vec_id").alias("query"))
     asked = materialise(asked, "queries")
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g = shared.value
-        for b in batches:
-            at, row = [], []
-            for i, v in enumerate(_matrix(b.column("v"))):
+        c = shared.value.c
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                b = whole.slice(at, 256)
+                v = _matrix(b.column("v"))
                 # The lifted query is scaled to the norm M: directions decide the order, and distances compare.
-                q = np.append(v * np.sqrt(top / (v @ v)), 0.0)
-                ids, d = g.search(q, PROBES)
-                before = np.cumsum(held[ids]) - held[ids]
-                at.append(ids[(d <= RATIO**2 * d[0]) | (before < ENOUGH * (k + 1))])
-                row.append(np.full(len(at[-1]), i))
-            if at:
-                x = b.take(pa.array(np.concatenate(row)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(at)), x.column("query"), x.column("v")], names=["list", "query", "v"])
+                q = np.concatenate([v * np.sqrt(top / (v * v).sum(axis=1))[:, None], np.zeros((len(v), 1))], axis=1)
+                row, lst = np.nonzero(probed(q, c, held, ENOUGH * (k + 1)))
+                row, p = np.unique(np.stack([row, part[lst]]), axis=1)
+                x = b.take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(chunks[p].astype(np.int32)), x.column("query"), x.column("v")], names=["part", "chunks", "query", "v"])
 
-    probes = asked.mapInArrow(probe, "list long, query long, v array<double>").join(sizes, "list")
-    probes = probes.select("list", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "query", "v", F.lit(None).cast("array<long>").alias("ids"))
+    probes = asked.mapInArrow(probe, "part long, chunks int, query long, v array<double>")
+    probes = probes.select("part", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "query", "v", F.lit(None).cast("array<long>").alias("ids"))
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        own: set[int] = set()  # least ids of held: a vector can be in several lists of a part
         key = None
 
         def flush(qs: list[tuple]) -> pa.RecordBatch:
@@ -205,13 +232,15 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
         waiting: list[tuple] = []
         for b in batches:
             vs = _matrix(b.column("v"))
-            for j, (lst, chunk, query, ids) in enumerate(zip(*(b.column(c).to_pylist() for c in ("list", "chunk", "query", "ids")), strict=True)):
-                if (lst, chunk) != key:
+            for j, (p, chunk, query, ids) in enumerate(zip(*(b.column(c).to_pylist() for c in ("part", "chunk", "query", "ids")), strict=True)):
+                if (p, chunk) != key:
                     if waiting and held:
                         yield flush(waiting)
-                    held, waiting, key = [], [], (lst, chunk)
+                    held, own, waiting, key = [], set(), [], (p, chunk)
                 if query is None:
-                    held.append((vs[j], ids))
+                    if ids[0] not in own:
+                        own.add(ids[0])
+                        held.append((vs[j], ids))
                 else:
                     waiting.append((query, vs[j]))
                     if len(waiting) >= 256 and held:
@@ -220,7 +249,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
         if waiting and held:
             yield flush(waiting)
 
-    met = chunked.unionByName(probes).repartition(n_partitions(spark), "list", "chunk").sortWithinPartitions("list", "chunk", F.col("query").asc_nulls_first())
+    met = chunked.unionByName(probes).repartition(n_partitions(spark), "part", "chunk").sortWithinPartitions("part", "chunk", F.col("query").asc_nulls_first())
     found = met.mapInArrow(multiply, "query long, vec_id long, score double")
     best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     found = found.groupBy("query", "vec_id").agg(F.max("score").alias("score")).withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k + 1)

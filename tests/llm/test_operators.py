@@ -169,6 +169,20 @@ def test_neighbours(spark):
     assert hit >= 0.9 * 400 and 400 not in got and 402 not in got
 
 
+def test_neighbours_of_vectors_without_clusters(spark, monkeypatch):
+    """Many short lists stand for a large table: no fixed number of lists is enough."""
+    monkeypatch.setattr(ann, "LIST", 8)
+    x = np.random.default_rng(5).standard_normal((6000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    table = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.search(table, __import__("pyspark").sql.functions.col("vec_id") % 40 == 0, 20).collect()
+    s = x[::40] @ x.T
+    s[np.arange(150), np.arange(0, 6000, 40)] = -np.inf
+    want = {(40 * q, int(i)) for q, row in enumerate(np.argsort(-s, axis=1)[:, :20]) for i in row}
+    recall = len(want & {(r.query_id, r.vec_id) for r in got}) / len(want)
+    assert recall >= 0.9
+
+
 def _brute_components(texts: dict[int, str], n: int, percent: int) -> dict[int, int]:
     sets = {}
     for i, t in texts.items():
