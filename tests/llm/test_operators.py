@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from lumenfreq.llm import ann, frames, html_text, language, lines, lm_score, mixing, ngram_join, packing, perfect, quality, tokens
+from lumenfreq.llm import ann, frames, gru, html_text, language, lines, lm_score, mixing, ngram_join, packing, perfect, quality, tokens
 
 LINE = "A line that is long enough to be a key of forty characters"
 TEXT = " ".join(f"word{i} the of and" for i in range(30))
@@ -127,6 +127,15 @@ def test_lm_scores(docs):
     assert abs(r.base_score - sum(np.log10((c[x] + 1) / (n + v + 1)) for x in w)) < 1e-9 and r.score < 0
 
 
+def test_lm_learns_from_every_training_document(spark, monkeypatch):
+    found, train = [], lm_score.train_model
+    monkeypatch.setattr(lm_score, "train_model", lambda training, vocab, slice_of: found.append((vocab, train(training, vocab, slice_of))) or found[-1][1])
+    lm_score.score(spark.createDataFrame([(i, f"own{i} the of " * 4) for i in range(40)], "doc_id long, text string"), __import__("pyspark").sql.functions.col("doc_id") < 36)
+    ((vocab, weights),) = found
+    before, after = (gru.unflat(vocab.shape, w)["x"] for w in (gru.start(vocab.shape, vocab.counts), weights))
+    assert all((before[vocab.ids[b"own%d" % i]] != after[vocab.ids[b"own%d" % i]]).any() for i in range(36))
+
+
 def test_components(docs, none):
     got = {r.doc_id: r for r in ngram_join.similar_components(docs, 3, 90).collect()}
     assert got[13].component_id == got[14].component_id == 13 and got[10].n_shingles == 0 and got[10].component_id == 10
