@@ -26,11 +26,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import materialise, n_partitions, text_of
+from .shared import WORD, materialise, n_partitions, text_of
 
 SKETCH_BITS = 21
 BLOCKS = 32
@@ -82,9 +82,9 @@ def needed(a, b, percent: int):
 
 
 def document_sets(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, n_shingles, cls, s0 to s3: parities) for every document, and the frequency class (log2) of each sketch counter."""
+    """(doc_id, key, n_shingles, cls, s0 to s3: parities) for every document (doc_id, text, key), and the frequency class (log2) of each sketch counter."""
     size = 1 << SKETCH_BITS
-    names = ["doc_id", "n_shingles", "cls", *SIG, "block", "counts"]
+    names = ["doc_id", "key", "n_shingles", "cls", *SIG, "block", "counts"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, used = np.zeros(size, np.int32), False
@@ -98,11 +98,11 @@ def document_sets(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
                 count.append(len(s))
                 sig.append(_parities(s))
             parts = np.array(sig, np.int64).reshape(len(sig), len(SIG))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(count, pa.int64()), pa.array(cls, pa.int64()), *(pa.array(np.ascontiguousarray(x)) for x in parts.T), pa.nulls(len(cls), pa.int32()), pa.nulls(len(cls), pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(count, pa.int64()), pa.array(cls, pa.int64()), *(pa.array(np.ascontiguousarray(x)) for x in parts.T), pa.nulls(len(cls), pa.int32()), pa.nulls(len(cls), pa.binary())], names=names)
         if used:
             parts = [zlib.compress(x.tobytes(), 1) for x in np.split(sketch, BLOCKS)]
             none = pa.nulls(BLOCKS, pa.int64())
-            yield pa.RecordBatch.from_arrays([none] * (3 + len(SIG)) + [pa.array(range(BLOCKS), pa.int32()), pa.array(parts, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([none] * (4 + len(SIG)) + [pa.array(range(BLOCKS), pa.int32()), pa.array(parts, pa.binary())], names=names)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -112,11 +112,11 @@ def document_sets(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
         log = [np.ceil(np.log2(np.maximum(x, 1))).astype(np.uint8).tobytes() for x in sums.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(log, pa.binary())], names=["block", "logs"])
 
-    seen = materialise(docs.mapInArrow(scan, "doc_id long, n_shingles long, cls long, s0 long, s1 long, s2 long, s3 long, block int, counts binary"), "sets")
+    seen = materialise(docs.mapInArrow(scan, "doc_id long, key long, n_shingles long, cls long, s0 long, s1 long, s2 long, s3 long, block int, counts binary"), "sets")
     order = np.zeros(size, np.uint8)
     for r in seen.filter("block is not null").select("block", "counts").repartition(BLOCKS, "block").mapInArrow(add, "block int, logs binary").collect():  # 2^21 bytes in all
         order[r["block"] * (size // BLOCKS) : (r["block"] + 1) * (size // BLOCKS)] = np.frombuffer(r["logs"], np.uint8)
-    return seen.filter("block is null").select("doc_id", "n_shingles", "cls", *SIG), order
+    return seen.filter("block is null").select("doc_id", "key", "n_shingles", "cls", *SIG), order
 
 
 def _parities(s: np.ndarray) -> np.ndarray:
@@ -292,42 +292,45 @@ def verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFram
     return rows.mapInArrow(test, "a long, b long")
 
 
-def similar_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of docs: component_id is the least id reachable by links of
-    100 * intersection >= percent * union over sets of n-word shingles."""
-    own = docs.select(docs[id_col].cast("long").alias("doc_id"), text_of(docs, text).alias("text"))
+def _key(text: Column) -> Column:
+    """Tells the texts of rows with the same id, or with none, apart."""
+    return F.xxhash64(text)
+
+
+def _linked(docs: DataFrame, n: int, percent: int, id_col: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """The sets of all rows, and (cls, row, label): the first row of each class (no_id, doc_id, key; null ids last) and the least class that links reach."""
+    own = docs.select(docs[id_col].cast("long").alias("doc_id"), text_of(docs, text).alias("text")).withColumn("key", _key(F.col("text")))
     sets, order = document_sets(own, n)
-    classes = sets.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first"), *(F.min(c).alias(c) for c in SIG))
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
+    classes = sets.filter("cls is not null").groupBy("cls").agg(F.min(row).alias("row"), *(F.min(c).alias(c) for c in SIG))
     postings = prefix_postings(own, classes, order, n, percent)
-    # One text for each class that has a posting: found by the least id (rows that share an id may differ, so by class too).
-    wanted = postings.select("cls").distinct().join(classes.select("cls", "first"), "cls")
-    hashed = own.join(wanted.withColumnRenamed("first", "doc_id"), "doc_id")
-    texts = materialise(hashed.mapInArrow(_of_class(n), "cls long, text string").dropDuplicates(["cls"]), "texts")
+    # One text for each class that has a posting: that of its first row, found by id and key, so that null ids have texts too.
+    wanted = postings.select("cls").distinct().join(classes.select("cls", "row"), "cls").select("cls", F.col("row.doc_id").alias("first"), F.col("row.key").alias("first_key"))
+    hashed = own.join(wanted, own["key"].eqNullSafe(wanted["first_key"]) & own["doc_id"].eqNullSafe(wanted["first"]))
+    texts = materialise(hashed.select("cls", "text").dropDuplicates(["cls"]), "texts")
     links = materialise(verify(pivot_candidates(postings, percent), texts, n, percent), "links")
     labels = materialise(components(links), "labels")
     more = verify(candidates(postings, labels, percent), texts, n, percent)
     star = labels.filter("node != label").select(F.col("node").alias("a"), F.col("label").alias("b"))
     labels = components(more.unionByName(star))
-    named = classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    least = named.groupBy("label").agg(F.min("first").alias("component_id"))
-    by_class = named.select("cls", "label").join(least, "label").select("cls", "component_id")
-    return sets.join(by_class, "cls", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left")
+    return sets, named.select("cls", "row", F.coalesce("label", "cls").alias("label"))
 
 
-def _of_class(n: int):
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            raws = b.column("text").cast(pa.binary()).to_pylist()
-            ok = [k for k, (raw, c) in enumerate(zip(raws, b.column("cls").to_pylist(), strict=True)) if _set_id(shingles(raw, n)) == c]
-            x = b.take(pa.array(ok, pa.int64()))
-            yield pa.RecordBatch.from_arrays([x.column("cls"), x.column("text")], names=["cls", "text"])
-
-    return keep
+def similar_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of docs: component_id is the least id reachable by links of
+    100 * intersection >= percent * union over sets of n-word shingles."""
+    sets, named = _linked(docs, n, percent, id_col, text)
+    least = named.groupBy("label").agg(F.min("row.doc_id").alias("component_id"))
+    by_class = named.select("cls", "label").join(least, "label").select("cls", "component_id")
+    return sets.join(by_class, "cls", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs with the least id of their component, one row for each such id."""
-    first = similar_components(docs, n, percent, id_col, text).filter("doc_id = component_id or component_id is null")
-    first = first.select(F.col("doc_id").alias("__lf_first")).distinct()
-    x = docs.join(first, docs[id_col].cast("long").eqNullSafe(F.col("__lf_first")))
-    return x.dropDuplicates(["__lf_first"]).select(*docs.columns)
+    """One row of docs for each component, that of the least id (null ids last, then by the hash of the text), and every row without words."""
+    _, named = _linked(docs, n, percent, id_col, text)
+    first = named.groupBy("label").agg(F.min("row").alias("row")).select(F.col("row.doc_id").alias("__lf_first"), F.col("row.key").alias("__lf_key"))
+    own = text_of(docs, text)
+    x = docs.join(first, _key(own).eqNullSafe(F.col("__lf_key")) & docs[id_col].cast("long").eqNullSafe(F.col("__lf_first")))
+    # Rows of one id and one text are copies.
+    return x.dropDuplicates(["__lf_first", "__lf_key"]).select(*docs.columns).unionByName(docs.filter(~own.rlike(WORD)))

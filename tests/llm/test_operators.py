@@ -143,6 +143,15 @@ def test_components(docs, none):
     assert ngram_join.keep_one_of_each(docs, 3, 90).filter("doc_id in (13, 14)").count() == 1
 
 
+def test_one_of_each_keeps_what_is_no_copy(spark):
+    text = lambda name: " ".join(f"{name}{k}" for k in range(40))
+    rows = [(None, text("a")), (None, text("b")), (None, text("b") + " more"), (None, text("c")), (7, text("d")), (7, text("e")), (8, text("e")), (9, text("e") + " more"), (9, text("e") + " more"), (3, ""), (None, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = collections.Counter(map(tuple, ngram_join.keep_one_of_each(table, 3, 90).collect()))
+    one_of = {r for r in got if r[1] in (rows[1][1], rows[2][1])}
+    assert len(one_of) == 1 and got == collections.Counter([rows[0], rows[3], rows[4], rows[5], rows[9], rows[10], *one_of])
+
+
 def test_mix(docs, none):
     got = mixing.mix_sizes(docs).collect()
     by = collections.defaultdict(int)
