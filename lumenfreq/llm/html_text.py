@@ -5,7 +5,9 @@ points for its length and its commas, less the share of its text that lies in li
 container's parent half, further ancestors ever less.  The container with the most points, discounted by the links in
 it, is the best; if it lies in an article or main element, that element is.  Its siblings are kept if they score enough
 or are plain paragraphs or headings.  Navigation, headers, footers, asides, forms, dialogs, scripts, styles, hidden
-elements, and what names itself an advert, a notice, a menu, comments and the like are no part of the tree.
+elements, and what names itself an advert, a notice, a menu, comments and the like are no part of the tree.  A name counts as a
+whole class, or as a word of one (unless that says has, no or with); an element so named stays if it holds most of the
+page's points, and for a whole class an article or main element besides.
 
 Cases: null or empty html: empty text; a page without containers for its text: its body; unclosed, stray or cut-off
 tags are read as browsers do (a new paragraph ends the one before, an unfinished tag at the end is dropped); repeated
@@ -46,14 +48,18 @@ ENDS = {
 BORDER = frozenset("article aside blockquote body caption dd details div dl dt figure footer form header html li main nav ol section table td th tr ul".split())
 #: Words in class, id or role that mark what isn't the article.
 _NOT_TEXT = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner\w*|sponsor\w*|promo\w*|sidebar\w*|menu\w*|nav|navbar|navigation|breadcrumbs?|footer|masthead|comments?|commentlist|disqus|replies|"
+    r"(?:ads?|advert\w*|adsense|banner\w*|sponsor\w*|promo\w*|sidebar\w*|menu\w*|nav|navbar|navigation|breadcrumbs?|footer|masthead|comments?|commentlist|disqus|replies|"
     r"respond|responses|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|social|shar(?:e|ing)|related|recommend\w*|widgets?|"
-    r"toolbar|pagination|pager|copyright|complementary|contentinfo|search|alertdialog|dialog)(?:$|[\s_-])",
+    r"toolbar|pagination|pager|copyright|complementary|contentinfo|search|alertdialog|dialog)",
     re.I,
 )
-_HEADER = re.compile(r"(?:^|[\s_-])(?:header|topbar)(?:$|[\s_-])", re.I)
-_HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none|visibility\s*:\s*hidden", re.I)
-_NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
+_COMMENT = re.compile(r"(?:^|\s)comment(?!s?-(?:status|open|closed|enabled|disabled))", re.I)
+_HEADER = re.compile(r"(?:header|topbar)", re.I)
+#: Words that say what the page has or lacks, not what the element is.
+_ABOUT = frozenset("has no with without".split())
+_WORDS = re.compile(r"[-_]+")
+_ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _ATTRS = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|iframe|title|svg|math)\b(?:{_ATTRS})>.*?(?:</\1\b[^>]*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)({_ATTRS}|[^>]*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*\Z",
@@ -67,6 +73,7 @@ class _Node:
     tag: str
     up: int
     gone: bool
+    named: int = 0  # 1: by a word of a class, 2: by a whole class
     points: float = 0.0
     chars: int = 0
     linked: int = 0
@@ -80,19 +87,56 @@ class _Block:
     text: str = ""
 
 
-def _is_gone(tag: str, attrs: str, in_article: bool) -> bool:
-    if tag in GONE or (tag == "header" and not in_article):
-        return True
-    if not attrs or tag in ("html", "body", "article", "main"):
-        return bool(attrs) and tag in ("article", "main") and bool(re.search(r"\bcomment", attrs, re.I))
-    if _HIDDEN.search(attrs):
-        return True
-    names = " ".join(a or b or c for a, b, c in _NAMES.findall(attrs))
-    return bool(names) and (bool(_NOT_TEXT.search(names)) or not in_article and bool(_HEADER.search(names)))
+def _is_gone(tag: str, attrs: dict[str, str]) -> bool:
+    """Whether the attributes hide an element, or it is a comment."""
+    if tag in ("html", "body", "article", "main"):
+        return tag in ("article", "main") and bool(_COMMENT.search(" ".join(attrs.get(k, "") for k in ("class", "id", "role"))))
+    hidden = "hidden" in attrs and attrs["hidden"].lower() != "false"
+    return hidden or attrs.get("aria-hidden", "").lower() == "true" or bool(_UNSEEN.search(attrs.get("style", "")))
+
+
+def _named(tag: str, attrs: dict[str, str], in_article: bool) -> int:
+    """2 if a whole class, id or role says that this isn't the article, 1 if a word of one does, 0 if none."""
+    if tag in ("html", "body", "article", "main"):
+        return 0
+    found = 0
+    for token in " ".join(attrs.get(k, "") for k in ("class", "id", "role")).split():
+        if _NOT_TEXT.fullmatch(token) or not in_article and _HEADER.fullmatch(token):
+            return 2
+        words = _WORDS.split(token.lower())
+        if not _ABOUT.intersection(words) and any(_NOT_TEXT.fullmatch(w) or not in_article and _HEADER.fullmatch(w) for w in words):
+            found = 1
+    return found
+
+
+def _attributes(raw: str) -> dict[str, str]:
+    out: dict[str, str] = {}
+    for name, a, b, c in _ATTR.findall(raw):
+        out.setdefault(name.lower(), a or b or c)
+    return out
 
 
 def parse(page: str) -> tuple[list[_Node], list[_Block]]:
     """Elements (their parents by number) and blocks in page order; nothing of what is gone."""
+    nodes, blocks = _parse(page, frozenset())
+    named = [i for i, n in enumerate(nodes) if n.named and not n.gone]
+    if not named:
+        return nodes, blocks
+    points, holds, total = [0.0] * len(nodes), [False] * len(nodes), 0.0
+    for b in blocks:
+        total += (p := _points(b))
+        for i in _within(nodes, b.node):
+            points[i] += p
+    for i, n in enumerate(nodes):
+        if n.tag in ("article", "main") and not n.gone:
+            for k in _within(nodes, i):
+                holds[k] = True
+    drop = frozenset(i for i in named if points[i] <= 0.5 * total or (nodes[i].named == 2 and not holds[i]))
+    return _parse(page, drop) if drop else (nodes, blocks)
+
+
+def _parse(page: str, drop: frozenset[int]) -> tuple[list[_Node], list[_Block]]:
+    """The same with the elements of the numbers in drop gone, and no others for their names."""
     nodes = [_Node("html", -1, False)]
     stack, blocks, links, articles = [0], [_Block(0)], 0, 0
 
@@ -158,7 +202,9 @@ def parse(page: str) -> tuple[list[_Node], list[_Block]]:
         up = stack[-1]
         if tag in ("html", "body"):
             continue
-        nodes.append(_Node(tag, up, nodes[up].gone or _is_gone(tag, m[4], articles > 0)))
+        attrs = _attributes(m[4]) if m[4] else {}
+        gone = nodes[up].gone or len(nodes) in drop or tag in GONE or (tag == "header" and not articles) or _is_gone(tag, attrs)
+        nodes.append(_Node(tag, up, gone, _named(tag, attrs, articles > 0) if attrs else 0))
         if not m[4].endswith("/") or tag in BLOCK or tag == "a":
             stack.append(len(nodes) - 1)
             links += tag == "a"
@@ -177,14 +223,18 @@ def _within(nodes: list[_Node], node: int) -> Iterator[int]:
         node = nodes[node].up
 
 
+def _points(b: _Block) -> float:
+    share = min(1.0, b.linked / len(b.text))
+    return (1 + b.text.count(",") + b.text.count("，") + min(len(b.text) / 100, 3.0)) * (1 - share)
+
+
 def extract(page: str | None) -> str:
     """The main text: blocks in page order, one on a line."""
     if not page:
         return ""
     nodes, blocks = parse(page)
     for b in blocks:
-        share = min(1.0, b.linked / len(b.text))
-        points = (1 + b.text.count(",") + b.text.count("，") + min(len(b.text) / 100, 3.0)) * (1 - share)
+        points = _points(b)
         at = b.node if nodes[b.node].tag not in LEAF else max(nodes[b.node].up, 0)
         for depth, i in enumerate(_within(nodes, at)):
             nodes[i].points += points / (1 if depth == 0 else 2 * depth)

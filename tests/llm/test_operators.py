@@ -170,6 +170,16 @@ def test_html():
     assert html_text.extract(None) == html_text.extract("<p") == ""
 
 
+@pytest.mark.parametrize("attrs", [
+    'class="site-content no-sidebar"', 'class="content has-sidebar"', 'class="layout with-sidebar"', 'class="post has-comments"', 'class="page menu-open"', 'class="post overflow-hidden"', 'data-title="the hidden city"', "class=sidebar-layout",
+])
+@pytest.mark.parametrize("inner", ["article", "div"])
+def test_html_wrappers_that_only_sound_like_something_else(attrs, inner):
+    rest = '<div class="ad">Buy, buy, buy</div><p hidden>Unseen</p><p style="display:none">Unseen too</p><div class="related-posts"><p>Other, more</p></div><div class="comments"><p>First, comment</p></div>'
+    page = f"<body><div {attrs}><{inner}><h1>T</h1><p>One, two, three, four</p><p>Five, six, seven</p></{inner}>{rest}</div></body>"
+    assert html_text.extract(page) == "T\nOne, two, three, four\nFive, six, seven"
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(3)
     x = rng.standard_normal((400, 8))
