@@ -42,7 +42,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("jaccard_join", jaccard_join), ("mix_sources", mix_sources), ("pack_sequences", pack_sequences)]
 
-#: Tokenising, hash thresholds and packing can't be said in SQL; tests hold run() against plain Python.
+#: Tokenising, hash thresholds and packing can't be said in SQL; tests hold the operators of the stages, but not run() yet, against plain Python.
 ORACLE_SQL = None
 
 
