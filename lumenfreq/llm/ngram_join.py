@@ -1,45 +1,56 @@
 """N-gram Jaccard self-join by rare-first prefix filtering, with length, positional and suffix filters.
 
 1. Each document becomes the set of its word n-grams (64-bit hashes); documents with the same set are one class, so
-   copies are never paired with each other.  The same pass sums how often n-grams occur into a sketch of 2^21 counters
-   over all documents (its size doesn't depend on the input).
-2. Each class emits the postings of its prefix: the n - ceil(t n) + 1 rarest n-grams, by the sketch's frequency class
-   and then by hash, one order for all.  Two sets of similarity t or more share an n-gram of their prefixes.
+   copies are never paired with each other.  The same pass says in how many documents n-grams occur: each task sorts the
+   counters that its n-grams fall on and writes them as gaps, about a byte for an n-gram; one task for each block of
+   counters adds them up.  There are at least as many counters as n-grams, up to 2^MOST_BITS (a byte each in a worker).
+2. Each class emits the postings of its prefix: the n - ceil(t n) + 1 rarest n-grams, by the sketch's count and then by
+   hash, one order for all.  Two sets of similarity t or more share an n-gram of their prefixes.  Counters never count
+   too little, so an n-gram whose counter says 1 is in one document alone, and is in the prefix without a posting.
 3. Postings meet by n-gram.  Within an n-gram, candidates pass the length, positional and suffix filters.  In a first
-   round only one pivot of a frequent n-gram, the class with fewest rarer n-grams before it, is paired with the others; members found to be connected then are not
-   paired again, which keeps a group of near copies linear.  The second round pairs all that is left: no pair of different
-   components goes untested, so components are exact.
-4. Each candidate pair is verified once on the exact sets of both texts.
+   round only one pivot of a frequent n-gram, the class with fewest rarer n-grams before it, is paired with the others;
+   members found to be connected then are not paired again, which keeps a group of near copies linear.  The second round
+   pairs all that is left: no pair of different components goes untested, so components are exact.  There an n-gram of
+   more than CHUNK classes is dealt to tasks as pairs of chunks.
+4. Each candidate pair is verified once on the exact sets of both texts.  Only texts of candidates are fetched, straight
+   to the task of their pair; a class with many partners has as many tasks as they need.
 
 The suffix filter bounds the overlap by the parities of the n-gram counts in 256 parts of the hash space: sets differ in
 at least as many n-grams as they have parts of unequal parity.
 
 Cases: a null text or one without words has no set and links with nothing; fewer words than n are one n-gram;
-repeated rows are in one class; an empty table gives an empty result; other columns aren't read.
+repeated rows are in one class; an empty table gives an empty result; other columns aren't read.  A very long text is
+one task's work, and its set is held whole.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import WORD, materialise, n_partitions, text_of
-
-SKETCH_BITS = 21
-BLOCKS = 32
-SALTS = 16
+from .files import create, open_input
+from .shared import discard, materialise, n_partitions, new_dir, small, text_of
+
+#: Counters at most, as a power of two, and at least (also the blocks of counters that are added up apart).
+MOST_BITS, LEAST_BITS, BLOCK_BITS = 26, 16, 6
+#: N-grams held before their counters are written.
+HELD = 4_000_000
+#: Partners that one task of the verification holds against a class.
+PARTNERS = 512
 SIG = ("s0", "s1", "s2", "s3")
 #: N-grams of at most so many classes pair them without a loop.
 SMALL = 32
 #: N-grams of more classes than this go through a pivot first.
 PIVOT_FROM = 4
+#: Classes of one n-gram in a chunk; a task holds two.
+CHUNK = 4096
 _MOST_WORDS = 500_000
 
 
@@ -81,42 +92,96 @@ def needed(a, b, percent: int):
     return -(-percent * (a + b) // (100 + percent))
 
 
-def document_sets(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, key, n_shingles, cls, s0 to s3: parities) for every document (doc_id, text, key), and the frequency class (log2) of each sketch counter."""
-    size = 1 << SKETCH_BITS
-    names = ["doc_id", "key", "n_shingles", "cls", *SIG, "block", "counts"]
+def _gaps(counters: np.ndarray) -> bytes:
+    """Sorted counters as gaps: a byte each, and those of 255 or more in full behind."""
+    d = np.diff(counters, prepend=counters.dtype.type(0))
+    packed = np.minimum(d, 255).astype(np.uint8).tobytes() + d[d >= 255].astype("<u4").tobytes()
+    return len(d).to_bytes(8, "little") + zstandard.ZstdCompressor(level=1).compress(packed)
+
+
+def _from_gaps(raw: bytes) -> np.ndarray:
+    n = int.from_bytes(raw[:8], "little")
+    packed = zstandard.ZstdDecompressor().decompress(raw[8:])
+    d = np.frombuffer(packed, np.uint8, n).astype(np.int64)
+    d[d == 255] = np.frombuffer(packed, "<u4", offset=n)
+    return np.cumsum(d)
+
+
+def _level(counts: np.ndarray) -> np.ndarray:
+    """Counts as bytes in the same order: exact to 128, then by steps of an eighth."""
+    return np.where(counts <= 128, counts, np.minimum(128 + np.ceil(6 * np.log2(np.maximum(counts, 128) / 128)), 255)).astype(np.uint8)
+
+
+_HELD_LEVELS: dict[str, np.ndarray] = {}
+
+
+def _levels(at: str) -> np.ndarray:
+    """All counters of a sketch, read once by each worker."""
+    if at not in _HELD_LEVELS:
+        _HELD_LEVELS.clear()
+        parts = []
+        for k in range(1 << BLOCK_BITS):
+            with open_input(f"{at}/{k:04d}") as f:
+                parts.append(np.frombuffer(f.read(), np.uint8))
+        _HELD_LEVELS[at] = np.concatenate(parts)
+    return _HELD_LEVELS[at]
+
+
+def document_sets(docs: DataFrame, n: int) -> tuple[DataFrame, str]:
+    """(doc_id, key, n_shingles, cls, s0 to s3: parities) for every document (doc_id, text, key), and the folder of the sketch."""
+    spark = docs.sparkSession
+    names = ["doc_id", "key", "n_shingles", "cls", *SIG, "block", "counters"]
+    inner = MOST_BITS - BLOCK_BITS
+
+    def counters(held: list[np.ndarray]) -> pa.RecordBatch:
+        c = (np.concatenate(held) >> np.uint64(64 - MOST_BITS)).astype(np.uint32)
+        c.sort()
+        cuts = np.searchsorted(c, np.arange(1, 1 << BLOCK_BITS, dtype=np.uint32) << np.uint32(inner))
+        parts = [_gaps(x & np.uint32((1 << inner) - 1)) for x in np.split(c, cuts)]
+        none = pa.nulls(len(parts), pa.int64())
+        return pa.RecordBatch.from_arrays([none] * (4 + len(SIG)) + [pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=names)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch, used = np.zeros(size, np.int32), False
+        held, size = [], 0
         for b in batches:
             cls, count, sig = [], [], []
             for raw in b.column(1).cast(pa.binary()).to_pylist():
                 s = shingles(raw, n)
-                np.add.at(sketch, (s & np.uint64(size - 1)).astype(np.int64), np.ones(len(s), np.int32))
-                used |= bool(len(s))
                 cls.append(_set_id(s) if len(s) else None)
                 count.append(len(s))
                 sig.append(_parities(s))
+                if len(s):
+                    held.append(s)
+                    size += len(s)
+                if size >= HELD:
+                    yield counters(held)
+                    held, size = [], 0
             parts = np.array(sig, np.int64).reshape(len(sig), len(SIG))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(count, pa.int64()), pa.array(cls, pa.int64()), *(pa.array(np.ascontiguousarray(x)) for x in parts.T), pa.nulls(len(cls), pa.int32()), pa.nulls(len(cls), pa.binary())], names=names)
-        if used:
-            parts = [zlib.compress(x.tobytes(), 1) for x in np.split(sketch, BLOCKS)]
-            none = pa.nulls(BLOCKS, pa.int64())
-            yield pa.RecordBatch.from_arrays([none] * (4 + len(SIG)) + [pa.array(range(BLOCKS), pa.int32()), pa.array(parts, pa.binary())], names=names)
+        if held:
+            yield counters(held)
+
+    kind = "doc_id long, key long, n_shingles long, cls long, s0 long, s1 long, s2 long, s3 long, block int, counters binary"
+    seen = materialise(docs.mapInArrow(scan, kind), "sets")
+    total = seen.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+    shift = MOST_BITS - min(MOST_BITS, max(LEAST_BITS, int(total).bit_length()))
+    at = new_dir(spark, "sketch")
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
-            for k, x in zip(b.column("block").to_pylist(), b.column("counts").to_pylist(), strict=True):
-                sums[k] = sums.get(k, 0) + np.frombuffer(zlib.decompress(x), np.int32).astype(np.int64)
-        log = [np.ceil(np.log2(np.maximum(x, 1))).astype(np.uint8).tobytes() for x in sums.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(log, pa.binary())], names=["block", "logs"])
+            for k, x in zip(b.column("block").to_pylist(), b.column("counters").to_pylist(), strict=True):
+                own = sums.setdefault(k, np.zeros((1 << inner) >> shift, np.int64))
+                if x is not None:
+                    own += np.bincount(_from_gaps(x) >> shift, minlength=len(own))
+        for k, x in sums.items():
+            with create(f"{at}/{k:04d}") as out:
+                out.write(_level(x).tobytes())
+        yield pa.RecordBatch.from_pydict({"block": pa.array(list(sums), pa.int32())})
 
-    seen = materialise(docs.mapInArrow(scan, "doc_id long, key long, n_shingles long, cls long, s0 long, s1 long, s2 long, s3 long, block int, counts binary"), "sets")
-    order = np.zeros(size, np.uint8)
-    for r in seen.filter("block is not null").select("block", "counts").repartition(BLOCKS, "block").mapInArrow(add, "block int, logs binary").collect():  # 2^21 bytes in all
-        order[r["block"] * (size // BLOCKS) : (r["block"] + 1) * (size // BLOCKS)] = np.frombuffer(r["logs"], np.uint8)
-    return seen.filter("block is null").select("doc_id", "key", "n_shingles", "cls", *SIG), order
+    blocks = spark.range(1 << BLOCK_BITS).select(F.col("id").cast("int").alias("block"), F.lit(None).cast("binary").alias("counters"))
+    seen.filter("block is not null").select("block", "counters").unionByName(blocks).repartition(1 << BLOCK_BITS, "block").mapInArrow(add, "block int").count()
+    return seen.filter("block is null").select("doc_id", "key", "n_shingles", "cls", *SIG), at
 
 
 def _parities(s: np.ndarray) -> np.ndarray:
@@ -124,14 +189,13 @@ def _parities(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view("<i8")
 
 
-def prefix_postings(docs: DataFrame, classes: DataFrame, order: np.ndarray, n: int, percent: int) -> DataFrame:
+def prefix_postings(docs: DataFrame, classes: DataFrame, sketch: str, n: int, percent: int) -> DataFrame:
     """(gram, cls, size, pos, s0 to s3) of n-grams in the prefixes of at least two classes, written to the shared folder."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(order)  # 2^21 bytes
-    mask = np.uint64(len(order) - 1)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank, seen = shared.value, set()
+        level, seen = _levels(sketch), set()
+        shift = np.uint64(65 - len(level).bit_length())
         for b in batches:
             grams, cls, size, pos = [], [], [], []
             for raw in b.column(0).cast(pa.binary()).to_pylist():
@@ -140,12 +204,13 @@ def prefix_postings(docs: DataFrame, classes: DataFrame, order: np.ndarray, n: i
                     continue
                 if len(seen) < 1_000_000:
                     seen.add(c)
-                k = len(s) - -(-percent * len(s) // 100) + 1
-                first = s[np.lexsort((s, rank[(s & mask).astype(np.int64)]))[:k]]
-                grams.append(first)
-                cls.append(np.full(k, c, np.int64))
-                size.append(np.full(k, len(s), np.int32))
-                pos.append(np.arange(k, dtype=np.int32))
+                own = level[(s >> shift).astype(np.int64)]
+                first = np.argsort(own, kind="stable")[: len(s) - -(-percent * len(s) // 100) + 1]
+                at = np.flatnonzero(own[first] != 1)
+                grams.append(s[first[at]])
+                cls.append(np.full(len(at), c, np.int64))
+                size.append(np.full(len(at), len(s), np.int32))
+                pos.append(at.astype(np.int32))
             if grams:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams).view(np.int64)), *(pa.array(np.concatenate(x)) for x in (cls, size, pos))], names=["gram", "cls", "size", "pos"])
 
@@ -224,35 +289,42 @@ def candidates(postings: DataFrame, labels: DataFrame, percent: int) -> DataFram
     """Distinct (a, b) of all n-grams that pass the filters and whose labels (node, label) differ, written to the shared folder."""
     spark = postings.sparkSession
     x = postings.join(labels.withColumnsRenamed({"node": "cls"}), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    mixed = x.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("gram")
+    mixed = x.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).filter("lo != hi")
+    mixed = mixed.select("gram", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _whole(batches, "gram"):
-            gram, c, n, pos, label = (t.column(k).to_numpy() for k in ("gram", "cls", "size", "pos", "label"))
+        for t in _whole(batches, "cell"):
+            cell, c, n, pos, label, chunk = (t.column(k).to_numpy() for k in ("cell", "cls", "size", "pos", "label", "chunk"))
             n, pos, sig = n.astype(np.int64), pos.astype(np.int64), np.stack([t.column(k).to_numpy() for k in SIG], axis=1).view(np.uint64)
-            start = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
-            size = np.diff(np.append(start, len(gram)))
+            # In a cell of two chunks only pairs across them count.
+            part = np.where(t.column("across").to_numpy(), chunk, np.int32(-1))
+            start = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+            size = np.diff(np.append(start, len(cell)))
             found: list[tuple[np.ndarray, np.ndarray]] = []
-            small = np.repeat(size <= SMALL, size)
+            few = np.repeat(size <= SMALL, size)
             for d in range(1, int(size[size <= SMALL].max(initial=1))):
-                i = np.flatnonzero(small[:-d] & (gram[:-d] == gram[d:]) & (label[:-d] != label[d:]))
+                i = np.flatnonzero(few[:-d] & (cell[:-d] == cell[d:]) & (label[:-d] != label[d:]) & ((part[:-d] < 0) | (part[:-d] != part[d:])))
                 i = i[_fit(n, pos, sig, i, i + d, percent)]
                 found.append((i, i + d))
             for s, m in zip(start[size > SMALL], size[size > SMALL], strict=True):
-                found += _across_labels(s + np.argsort(n[s : s + m], kind="stable"), n, pos, sig, label, percent)
+                found += _across_labels(s + np.argsort(n[s : s + m], kind="stable"), n, pos, sig, label, part, percent)
             if found:
                 i, j = (np.concatenate(x) for x in zip(*found, strict=True))
                 ab = np.unique(np.stack([np.minimum(c[i], c[j]), np.maximum(c[i], c[j])]), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(ab[0]), pa.array(ab[1])], names=["a", "b"])
 
-    cols = ["gram", "cls", "size", "pos", *SIG, "label"]
-    met = x.join(mixed, "gram").select(cols).repartition(n_partitions(spark), "gram").sortWithinPartitions("gram").mapInArrow(pair, "a long, b long")
+    cols = ["cls", "size", "pos", *SIG, "label"]
+    met = x.join(mixed, "gram").withColumn("chunk", F.pmod(F.xxhash64("cls"), "chunks").cast("int"))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    met = met.select(F.xxhash64("gram", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("cell"), "chunk", (F.col("chunk") != F.col("other")).alias("mixed"), *cols)
+    # A cell of one chunk has rows of that chunk alone; a cell of two has rows of both, all marked.
+    met = met.withColumnRenamed("mixed", "across").repartition(n_partitions(spark), "cell").sortWithinPartitions("cell").mapInArrow(pair, "a long, b long")
     return materialise(met.distinct(), "pairs")
 
 
-def _across_labels(rows: np.ndarray, n, pos, sig, label, percent: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of different labels among rows (by size) that pass the filters.  Rows of the most frequent label are never
-    compared with one another, and no row with sizes too far from its own."""
+def _across_labels(rows: np.ndarray, n, pos, sig, label, part, percent: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of different labels (and parts, where these aren't negative) among rows (by size) that pass the filters.
+    Rows of the most frequent label are never compared with one another, and no row with sizes too far from its own."""
     size = n[rows]
     _, of = np.unique(label[rows], return_inverse=True)
     common = of == np.bincount(of).argmax()
@@ -261,19 +333,25 @@ def _across_labels(rows: np.ndarray, n, pos, sig, label, percent: int) -> list[t
     out = []
     for q in rest:
         j = np.arange(lo[q], hi[q])
-        j = j[(of[j] != of[q]) & (common[j] | (j > q))]
+        j = j[(of[j] != of[q]) & (common[j] | (j > q)) & ((part[rows[j]] < 0) | (part[rows[j]] != part[rows[q]]))]
         i = np.full(len(j), rows[q])
         ok = _fit(n, pos, sig, i, rows[j], percent)
         out.append((i[ok], rows[j][ok]))
     return out
 
 
-def verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs whose sets are similar enough.  Texts of b go to the task of (a, salt), which holds one set of a at a time."""
+def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose sets are similar enough, written to the shared folder.
+
+    The text of a class is that of its first row.  It goes to a task for each of its partners (salted by PARTNERS), which
+    holds one set of a at a time.
+    """
     spark = pairs.sparkSession
-    salted = pairs.withColumn("salt", F.pmod("b", F.lit(SALTS)).cast("int"))
-    left = salted.select("a", "salt").distinct().join(texts.withColumnRenamed("cls", "a"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "text")
-    right = salted.join(texts.withColumnRenamed("cls", "b"), "b").select("a", "salt", "b", "text")
+    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("salts"))
+    salted = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt"))
+    left = salted.select("a", "salt").distinct().select("a", "salt", F.lit(None).cast("long").alias("b"), F.col("a").alias("cls"))
+    asked = left.unionByName(salted.select("a", "salt", "b", F.col("b").alias("cls"))).join(classes.select("cls", "row"), "cls")
+    asked = materialise(asked.select(F.col("row.doc_id").alias("first"), F.col("row.key").alias("first_key"), F.col("row.times").alias("times"), "a", "salt", "b"), "asked")
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, key = np.zeros(0, np.uint64), None
@@ -288,8 +366,14 @@ def verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFram
                     out_b.append(other)
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
 
-    rows = left.unionByName(right).repartition(n_partitions(spark), "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return rows.mapInArrow(test, "a long, b long")
+    near = small(asked.drop("times"))
+    rows = docs.join(near, docs["key"].eqNullSafe(near["first_key"]) & docs["doc_id"].eqNullSafe(near["first"])).select("a", "salt", "b", "text")
+    if asked.filter("times > 1").limit(1).count():  # rows that are repeated whole
+        rows = rows.dropDuplicates(["a", "salt", "b"])
+    rows = rows.repartition(n_partitions(spark), "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+    links = materialise(rows.mapInArrow(test, "a long, b long"), "links")
+    discard(spark, asked)
+    return links
 
 
 def _key(text: Column) -> Column:
@@ -298,21 +382,24 @@ def _key(text: Column) -> Column:
 
 
 def _linked(docs: DataFrame, n: int, percent: int, id_col: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """The sets of all rows, and (cls, row, label): the first row of each class (no_id, doc_id, key; null ids last) and the least class that links reach."""
+    """The sets of all rows, and (cls, row, label): the first row of each class (no_id, doc_id, key; null ids last; and
+    times, how often that row occurs) and the least class that links reach."""
+    spark = docs.sparkSession
     own = docs.select(docs[id_col].cast("long").alias("doc_id"), text_of(docs, text).alias("text")).withColumn("key", _key(F.col("text")))
-    sets, order = document_sets(own, n)
-    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
-    classes = sets.filter("cls is not null").groupBy("cls").agg(F.min(row).alias("row"), *(F.min(c).alias(c) for c in SIG))
-    postings = prefix_postings(own, classes, order, n, percent)
-    # One text for each class that has a posting: that of its first row, found by id and key, so that null ids have texts too.
-    wanted = postings.select("cls").distinct().join(classes.select("cls", "row"), "cls").select("cls", F.col("row.doc_id").alias("first"), F.col("row.key").alias("first_key"))
-    hashed = own.join(wanted, own["key"].eqNullSafe(wanted["first_key"]) & own["doc_id"].eqNullSafe(wanted["first"]))
-    texts = materialise(hashed.select("cls", "text").dropDuplicates(["cls"]), "texts")
-    links = materialise(verify(pivot_candidates(postings, percent), texts, n, percent), "links")
-    labels = materialise(components(links), "labels")
-    more = verify(candidates(postings, labels, percent), texts, n, percent)
+    sets, sketch = document_sets(own, n)
+    rows = sets.filter("cls is not null").groupBy("cls", "doc_id", "key").agg(F.count("*").alias("times"), *(F.min(c).alias(c) for c in SIG))
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key", "times")
+    classes = materialise(rows.groupBy("cls").agg(F.min(row).alias("row"), *(F.min(c).alias(c) for c in SIG)), "classes")
+    postings = prefix_postings(own, classes, sketch, n, percent)
+    discard(spark, sketch)
+    pivots = pivot_candidates(postings, percent)
+    links = verify(pivots, own, classes, n, percent)
+    labels = components(links)
+    rest = candidates(postings, labels, percent)
+    more = verify(rest, own, classes, n, percent)
     star = labels.filter("node != label").select(F.col("node").alias("a"), F.col("label").alias("b"))
     labels = components(more.unionByName(star))
+    discard(spark, postings, pivots, links, rest, more)
     named = classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left")
     return sets, named.select("cls", "row", F.coalesce("label", "cls").alias("label"))
 
@@ -327,10 +414,21 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
 
 
 def keep_one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of docs for each component, that of the least id (null ids last, then by the hash of the text), and every row without words."""
-    _, named = _linked(docs, n, percent, id_col, text)
-    first = named.groupBy("label").agg(F.min("row").alias("row")).select(F.col("row.doc_id").alias("__lf_first"), F.col("row.key").alias("__lf_key"))
-    own = text_of(docs, text)
-    x = docs.join(first, _key(own).eqNullSafe(F.col("__lf_key")) & docs[id_col].cast("long").eqNullSafe(F.col("__lf_first")))
-    # Rows of one id and one text are copies.
-    return x.dropDuplicates(["__lf_first", "__lf_key"]).select(*docs.columns).unionByName(docs.filter(~own.rlike(WORD)))
+    """One row of docs for each component, that of the least id (null ids last, then by the hash of the text), and every row without words.
+
+    Rows are told apart by id and text; of rows that agree in both one stays, if it is the first of its component.
+    """
+    sets, named = _linked(docs, n, percent, id_col, text)
+    first = named.groupBy("label").agg(F.min("row").alias("first"))
+    first = materialise(named.join(first, "label").select("cls", "first"), "first")
+    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key"))
+    # Rows that go: all but the first of each component, and the first too if it is repeated, of which one comes back.
+    gone = sets.join(first, "cls").filter(~same | (F.col("first.times") > 1)).select(F.col("doc_id").alias("__lf_id"), F.col("key").alias("__lf_key")).distinct()
+    gone = small(materialise(gone, "gone"))
+    own_key, own_id = _key(text_of(docs, text)), docs[id_col].cast("long")
+    kept = docs.join(gone, own_key.eqNullSafe(F.col("__lf_key")) & own_id.eqNullSafe(F.col("__lf_id")), "left_anti")
+    again = materialise(first.filter("first.times > 1").select(F.col("first.doc_id").alias("__lf_id"), F.col("first.key").alias("__lf_key")).distinct(), "again")
+    if not again.limit(1).count():
+        return kept
+    back = docs.join(small(again), own_key.eqNullSafe(F.col("__lf_key")) & own_id.eqNullSafe(F.col("__lf_id")))
+    return kept.unionByName(back.dropDuplicates(["__lf_id", "__lf_key"]).select(*docs.columns))

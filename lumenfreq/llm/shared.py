@@ -40,7 +40,26 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, and a lost executor costs no recomputation."""
     path = new_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.lf_path = path
+    return out
+
+
+def discard(spark: SparkSession, *written: DataFrame | str) -> None:
+    """Delete tables of materialise(), or folders, that nothing reads any more."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for x in written:
+        path = jvm.org.apache.hadoop.fs.Path(x if isinstance(x, str) else x.lf_path)
+        path.getFileSystem(conf).delete(path, True)
+
+
+#: Rows of a few numbers that are sent to all tasks at most; tables beyond that are joined by shuffles.
+FEW = 500_000
+
+
+def small(df: DataFrame, most: int = FEW) -> DataFrame:
+    """df (a written table of narrow rows), marked for broadcast if it is known to be small."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def n_partitions(spark: SparkSession) -> int:
