@@ -1,7 +1,7 @@
 """Token ids from public tokenizers, fast enough for a corpus.
 
 A document is split at white space into chunks that a tokenizer encodes alike wherever they stand, and each chunk is
-encoded once and kept (a bounded dictionary for each worker process).  A text for which such a split isn't safe (white
+encoded once and kept (dictionaries bounded by bytes for each worker process).  A text for which such a split isn't safe (white
 space beyond ASCII, combining marks, control characters) is encoded whole.  All ids come from the tokenizers library.
 """
 
@@ -18,7 +18,10 @@ _CHUNK = re.compile(r" ?[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+(?![^\x20\x09-\x0D])|[
 _PLAIN = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
 #: White space other than line feeds and single spaces between words.
 _EDGES = ("  ", " \n", "\n ", "\t", "\r", "\x0b", "\x0c")
-_MOST = 600_000
+#: Bytes that the three dictionaries hold in each worker: of chunks met again, and of chunks met once so far; and what an
+#: entry takes besides its characters and ids.
+KEPT_BYTES, NEW_BYTES = 100 << 20, 50 << 20
+_ENTRY = 140
 _LONGEST = 64
 
 
@@ -35,19 +38,34 @@ def _byte_table() -> dict[int, str]:
 
 
 class _Chunks(dict):
-    """chunk -> its ids as little-endian uint32 bytes."""
+    """chunk -> its ids as little-endian uint32 bytes.  Bounded by bytes: a chunk is new at first and kept when it is asked
+    for again before the new ones are full (most chunks of a corpus occur once or twice, and would push out the others)."""
 
-    def __init__(self, encode):
-        self.encode = encode
+    def __init__(self, encode, share: float):
+        self.encode, self.new = encode, {}
+        self.room, self.new_room = share * KEPT_BYTES, share * NEW_BYTES
+        self.held = self.new_held = 0
 
     def __missing__(self, chunk: str) -> bytes:
+        ids = self.new.pop(chunk, None)
+        if ids is not None:
+            self.held += _ENTRY + len(chunk) + len(ids)
+            if self.held > self.room:
+                self.forget()
+            self[chunk] = ids
+            return ids
         ids = self.encode(chunk)
         if len(chunk) <= _LONGEST:
-            if len(self) >= _MOST:
-                self.clear()
-            self[chunk] = ids
+            self.new_held += _ENTRY + len(chunk) + len(ids)
+            if self.new_held > self.new_room:
+                self.new, self.new_held = {}, 0
+            self.new[chunk] = ids
         return ids
 
+    def forget(self) -> None:
+        self.clear()
+        self.held = 0
+
 
 class Encoder:
     """Encodes texts to arrays of ids.  `spaces` says whether a space belongs to the word after it."""
@@ -61,9 +79,9 @@ class Encoder:
         self.lower = "Lowercase" in str(self.tokenizer.normalizer)
         self.spaces = self.tokenizer.normalizer is None
         self.table = _byte_table()
-        self.words = _Chunks(lambda s: array("I", [t.id for t in self.tokenize(self._mapped(s))]).tobytes())
-        self.chunks = _Chunks(self._chunk)
-        self.spaced = _Chunks(lambda s: b"".join(map(self.chunks.__getitem__, _CHUNK.findall(" " + s))) if "\n" in s else self._chunk(" " + s))
+        self.words = _Chunks(lambda s: array("I", [t.id for t in self.tokenize(self._mapped(s))]).tobytes(), 0.2)
+        self.chunks = _Chunks(self._chunk, 0.3 if self.spaces else 0.8)
+        self.spaced = _Chunks(lambda s: b"".join(map(self.chunks.__getitem__, _CHUNK.findall(" " + s))) if "\n" in s else self._chunk(" " + s), 0.5)
         self._cross_check()
 
     def whole(self, text: str) -> bytes:
@@ -85,7 +103,8 @@ class Encoder:
         for s in ("Hello,", "naïve", "Straße!", "The", "word", "é", "x)", "ÀÖ.", *([" and", " Über-", " it."] if self.spaces else [])):
             if self._chunk(s) != self.whole(s):
                 self.chunks.encode = self.whole
-                self.chunks.clear()
+                self.chunks.forget()
+                self.chunks.new.clear()
                 return
 
     def encode(self, text: str) -> bytes:
