@@ -50,7 +50,7 @@ SMALL = 32
 #: N-grams of more classes than this go through a pivot first.
 PIVOT_FROM = 4
 #: Classes of one n-gram in a chunk; a task holds two.
-CHUNK = 4096
+CHUNK = 1024
 _MOST_WORDS = 500_000
 
 
