@@ -2,17 +2,23 @@
 
 A page becomes a tree of elements and a list of blocks (runs of text between block-level borders).  Each block gives
 points for its length and its commas, less the share of its text that lies in links; its container gets them whole, the
-container's parent half, further ancestors ever less.  The container with the most points, discounted by the links in
-it, is the best; if it lies in an article or main element, that element is.  Its siblings are kept if they score enough
-or are plain paragraphs or headings.  Navigation, headers, footers, asides, forms, dialogs, scripts, styles, hidden
-elements, and what names itself an advert, a notice, a menu, comments and the like are no part of the tree.  A name counts as a
-whole class, or as a word of one (unless that says has, no or with); an element so named stays if it holds most of the
-page's points, and for a whole class an article or main element besides.
+container's parent half, and each further ancestor half of what the one below got.  An article or main element counts
+its points twice, no more: the container with the most points, discounted by the links in it, is the best, whatever it
+is called.  A first-level heading adds to its container.  The best one's siblings are kept if they score enough or are
+plain paragraphs or headings.
+
+No part of the text are elements that are none by their kind (navigation, footers, asides, forms, dialogs, scripts,
+styles, headers outside an article; a header inside one is its title and stays), hidden ones, and what names itself an
+advert, a notice, a menu, comments and the like.  A name counts as a whole class, or as a word of one (unless that says
+has, no or with); an element so named stays if it holds most of the page's points, and for a whole class or a name that
+says comments an article or main element besides.
+
+Everything is done in a few passes over elements and blocks, so time is in line with the page, however deep it is.
 
 Cases: null or empty html: empty text; a page without containers for its text: its body; unclosed, stray or cut-off
-tags are read as browsers do (a new paragraph ends the one before, an unfinished tag at the end is dropped); repeated
-rows are read again; an empty table gives an empty result; other columns pass through, and result columns replace
-input columns of the same name.
+tags are read as browsers do (a new paragraph ends the one before, an unfinished tag at the end is dropped); the first
+element wins a tie of points; repeated rows are read again; an empty table gives an empty result; other columns pass
+through, and result columns replace input columns of the same name.
 """
 
 from __future__ import annotations
@@ -20,7 +26,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -53,6 +59,7 @@ _NOT_TEXT = re.compile(
     r"toolbar|pagination|pager|copyright|complementary|contentinfo|search|alertdialog|dialog)",
     re.I,
 )
+_READERS = frozenset("comment comments commentlist disqus replies respond responses".split())
 _COMMENT = re.compile(r"(?:^|\s)comment(?!s?-(?:status|open|closed|enabled|disabled))", re.I)
 _HEADER = re.compile(r"(?:header|topbar)", re.I)
 #: Words that say what the page has or lacks, not what the element is.
@@ -68,23 +75,22 @@ _TOKEN = re.compile(
 _SPACE = re.compile(r"\s+")
 
 
-@dataclass
-class _Node:
-    tag: str
-    up: int
-    gone: bool
-    named: int = 0  # 1: by a word of a class, 2: by a whole class
-    points: float = 0.0
-    chars: int = 0
-    linked: int = 0
+#: What article and main elements count their points times, and the points of a first-level heading.
+BONUS, TITLE = 2.0, 3.0
 
 
 @dataclass
-class _Block:
-    node: int
-    parts: list[str] = field(default_factory=list)
-    linked: int = 0
-    text: str = ""
+class Page:
+    """Elements by number, each after its parent, and blocks in page order."""
+
+    tag: list[str]
+    up: list[int]
+    #: Whether an element is no text by its kind or its attributes.
+    gone: list[bool]
+    #: 1: a word of a class says that it isn't the article, 2: a whole class, 3: a word that says comments.
+    named: list[int]
+    #: (innermost block-level element, [(element, text, whether in a link)])
+    blocks: list[tuple[int, list[tuple[int, str, bool]]]]
 
 
 def _is_gone(tag: str, attrs: dict[str, str]) -> bool:
@@ -96,7 +102,7 @@ def _is_gone(tag: str, attrs: dict[str, str]) -> bool:
 
 
 def _named(tag: str, attrs: dict[str, str], in_article: bool) -> int:
-    """2 if a whole class, id or role says that this isn't the article, 1 if a word of one does, 0 if none."""
+    """Whether a class, id or role says that this isn't the article (see Page.named)."""
     if tag in ("html", "body", "article", "main"):
         return 0
     found = 0
@@ -105,7 +111,7 @@ def _named(tag: str, attrs: dict[str, str], in_article: bool) -> int:
             return 2
         words = _WORDS.split(token.lower())
         if not _ABOUT.intersection(words) and any(_NOT_TEXT.fullmatch(w) or not in_article and _HEADER.fullmatch(w) for w in words):
-            found = 1
+            found = max(found, 3 if _READERS.intersection(words) else 1)
     return found
 
 
@@ -116,50 +122,56 @@ def _attributes(raw: str) -> dict[str, str]:
     return out
 
 
-def parse(page: str) -> tuple[list[_Node], list[_Block]]:
-    """Elements (their parents by number) and blocks in page order; nothing of what is gone."""
-    nodes, blocks = _parse(page, frozenset())
-    named = [i for i, n in enumerate(nodes) if n.named and not n.gone]
-    if not named:
-        return nodes, blocks
-    points, holds, total = [0.0] * len(nodes), [False] * len(nodes), 0.0
-    for b in blocks:
-        total += (p := _points(b))
-        for i in _within(nodes, b.node):
-            points[i] += p
-    for i, n in enumerate(nodes):
-        if n.tag in ("article", "main") and not n.gone:
-            for k in _within(nodes, i):
-                holds[k] = True
-    drop = frozenset(i for i in named if points[i] <= 0.5 * total or (nodes[i].named == 2 and not holds[i]))
-    return _parse(page, drop) if drop else (nodes, blocks)
-
-
-def _parse(page: str, drop: frozenset[int]) -> tuple[list[_Node], list[_Block]]:
-    """The same with the elements of the numbers in drop gone, and no others for their names."""
-    nodes = [_Node("html", -1, False)]
-    stack, blocks, links, articles = [0], [_Block(0)], 0, 0
-
-    def close(k: int) -> None:
-        nonlocal links, articles
-        for i in stack[k:]:
-            links -= nodes[i].tag == "a"
-            articles -= nodes[i].tag in ("article", "main")
-        del stack[k:]
+class _Open:
+    """The open elements, with the places of each tag, of borders and of block-level elements, so that nothing is searched for."""
+
+    def __init__(self) -> None:
+        self.stack = [0]
+        self.by_tag: dict[str, list[int]] = {}
+        self.border: list[int] = []
+        self.block: list[int] = [0]
+        self.tags: list[str] = ["html"]
+
+    def push(self, node: int, tag: str) -> None:
+        at = len(self.stack)
+        self.stack.append(node)
+        self.tags.append(tag)
+        self.by_tag.setdefault(tag, []).append(at)
+        if tag in BORDER:
+            self.border.append(at)
+        if tag in BLOCK:
+            self.block.append(at)
+
+    def top(self, tags) -> int:
+        """The place of the innermost element with one of the tags, 0 if there is none."""
+        return max((self.by_tag[t][-1] for t in tags if self.by_tag.get(t)), default=0)
+
+    def close(self, at: int) -> None:
+        while len(self.stack) > at:
+            self.stack.pop()
+            tag = self.tags.pop()
+            self.by_tag[tag].pop()
+            if tag in BORDER:
+                self.border.pop()
+            if tag in BLOCK:
+                self.block.pop()
+
+
+def parse(page: str) -> Page:
+    """The tree as browsers would build it, near enough."""
+    out, opened = Page(["html"], [-1], [False], [0], [(0, [])]), _Open()
 
     def text(s: str) -> None:
-        top = stack[-1]
-        if s and not nodes[top].gone:
+        if s:
             s = html.unescape(s) if "&" in s else s
-            blocks[-1].parts.append(s)
-            if links:
-                blocks[-1].linked += len(_SPACE.sub(" ", s).strip())
+            out.blocks[-1][1].append((opened.stack[-1], s, bool(opened.by_tag.get("a"))))
 
     def border() -> None:
-        at = next((i for i in reversed(stack) if nodes[i].tag in BLOCK), 0)
-        if blocks[-1].parts:
-            blocks.append(_Block(at))
-        blocks[-1].node = at
+        at = opened.stack[opened.block[-1]]
+        if out.blocks[-1][1]:
+            out.blocks.append((at, []))
+        else:
+            out.blocks[-1] = (at, [])
 
     last = 0
     for m in _TOKEN.finditer(page):
@@ -169,29 +181,21 @@ def _parse(page: str, drop: frozenset[int]) -> tuple[list[_Node], list[_Block]]:
         if not tag:
             continue
         if m[2]:
-            k = next((k for k in range(len(stack) - 1, 0, -1) if nodes[stack[k]].tag == tag), 0)
-            if k and (tag in BLOCK or not any(nodes[i].tag in BORDER for i in stack[k + 1 :])):
-                close(k)
+            at = opened.top((tag,))
+            if at and (tag in BLOCK or not opened.border or opened.border[-1] <= at):
+                opened.close(at)
             if tag in BLOCK:
                 border()
             continue
         if tag in BLOCK:
-            for k in range(len(stack) - 1, 0, -1):
-                t = nodes[stack[k]].tag
-                if t == "p" or (tag in HEADING and t in HEADING):
-                    close(k)
-                    break
-                if t in BORDER:
-                    break
+            at = opened.top(("p", *HEADING) if tag in HEADING else ("p",))
+            if at and (not opened.border or opened.border[-1] < at):
+                opened.close(at)
         if tag in ENDS:
             own, stop = ENDS[tag]
-            for k in range(len(stack) - 1, 0, -1):
-                t = nodes[stack[k]].tag
-                if t in stop:
-                    break
-                if t in own:
-                    close(k)
-                    break
+            at = opened.top(own)
+            if at > opened.top(stop):
+                opened.close(at)
         if tag == "br" or tag == "wbr":
             text(" " if tag == "br" else "")
             continue
@@ -199,61 +203,105 @@ def _parse(page: str, drop: frozenset[int]) -> tuple[list[_Node], list[_Block]]:
             if tag in BLOCK:
                 border()
             continue
-        up = stack[-1]
         if tag in ("html", "body"):
             continue
         attrs = _attributes(m[4]) if m[4] else {}
-        gone = nodes[up].gone or len(nodes) in drop or tag in GONE or (tag == "header" and not articles) or _is_gone(tag, attrs)
-        nodes.append(_Node(tag, up, gone, _named(tag, attrs, articles > 0) if attrs else 0))
+        in_article = bool(opened.by_tag.get("article") or opened.by_tag.get("main"))
+        out.tag.append(tag)
+        out.up.append(opened.stack[-1])
+        out.gone.append(tag in GONE or (tag == "header" and not in_article) or _is_gone(tag, attrs))
+        out.named.append(_named(tag, attrs, in_article) if attrs else 0)
         if not m[4].endswith("/") or tag in BLOCK or tag == "a":
-            stack.append(len(nodes) - 1)
-            links += tag == "a"
-            articles += tag in ("article", "main")
+            opened.push(len(out.tag) - 1, tag)
         if tag in BLOCK:
             border()
     text(page[last:])
-    for b in blocks:
-        b.text = _SPACE.sub(" ", "".join(b.parts)).strip()
-    return nodes, [b for b in blocks if b.text]
+    return out
+
 
+def _inherit(page: Page, marked: list[bool]) -> list[bool]:
+    """Marks passed on to all elements within."""
+    out = list(marked)
+    for i in range(1, len(out)):
+        out[i] = out[i] or out[page.up[i]]
+    return out
 
-def _within(nodes: list[_Node], node: int) -> Iterator[int]:
-    while node >= 0:
-        yield node
-        node = nodes[node].up
 
+def _gather(page: Page, x: list, share: float = 1) -> list:
+    """Each element's own figure and `share` of its children's, children first."""
+    out = list(x)
+    for i in range(len(out) - 1, 0, -1):
+        if out[i]:
+            out[page.up[i]] += out[i] * share
+    return out
 
-def _points(b: _Block) -> float:
-    share = min(1.0, b.linked / len(b.text))
-    return (1 + b.text.count(",") + b.text.count("，") + min(len(b.text) / 100, 3.0)) * (1 - share)
 
+def _texts(page: Page, gone: list[bool]) -> list[tuple[int, str, int]]:
+    """(element, text, characters in links) of the blocks that have text outside what is gone."""
+    out = []
+    for node, parts in page.blocks:
+        if all(gone[i] for i, _, _ in parts):
+            continue
+        s = _SPACE.sub(" ", "".join(s for i, s, _ in parts if not gone[i])).strip()
+        if s:
+            linked = sum(len(_SPACE.sub(" ", s).strip()) for i, s, link in parts if link and not gone[i])
+            out.append((node, s, min(linked, len(s))))
+    return out
 
-def extract(page: str | None) -> str:
-    """The main text: blocks in page order, one on a line."""
+
+def _points(text: str, linked: int) -> float:
+    return (1 + text.count(",") + text.count("，") + min(len(text) / 100, 3.0)) * (1 - linked / len(text))
+
+
+def _without_names(page: Page, gone: list[bool], blocks: list[tuple[int, str, int]]) -> list[bool]:
+    """gone, and with it the elements whose names say so."""
+    named = [i for i, n in enumerate(page.named) if n and not gone[i]]
+    if not named:
+        return gone
+    own, holds = [0.0] * len(gone), [t in ("article", "main") and not g for t, g in zip(page.tag, gone, strict=True)]
+    for node, text, linked in blocks:
+        own[node] += _points(text, linked)
+    points, holds = _gather(page, own), _gather(page, holds)
+    drop = list(gone)
+    for i in named:
+        drop[i] = points[i] <= 0.5 * points[0] or (page.named[i] >= 2 and not holds[i] and (page.named[i] == 2 or points[i] < 0.95 * points[0]))
+    return _inherit(page, drop)
+
+
+def extract(page: str | None, blacklist: bool = True) -> str:
+    """The main text: blocks in page order, one on a line.  Without the blacklist only scores decide."""
     if not page:
         return ""
-    nodes, blocks = parse(page)
-    for b in blocks:
-        points = _points(b)
-        at = b.node if nodes[b.node].tag not in LEAF else max(nodes[b.node].up, 0)
-        for depth, i in enumerate(_within(nodes, at)):
-            nodes[i].points += points / (1 if depth == 0 else 2 * depth)
-        for i in _within(nodes, b.node):
-            nodes[i].chars += len(b.text)
-            nodes[i].linked += min(b.linked, len(b.text))
-    worth = [n.points * (1 - n.linked / n.chars) if n.chars else 0.0 for n in nodes]
-    best = max(range(len(nodes)), key=lambda i: (worth[i], -i))
+    tree = parse(page)
+    gone = _inherit(tree, tree.gone) if blacklist else [t in ("head", "title") for t in tree.tag]
+    blocks = _texts(tree, gone)
+    if blacklist:
+        less = _without_names(tree, gone, blocks)
+        blocks = blocks if less is gone else _texts(tree, less)
+    kept = _inherit(tree, _best(tree, blocks))
+    return "\n".join(text for node, text, _ in blocks if kept[node])
+
+
+def _best(page: Page, blocks: list[tuple[int, str, int]]) -> list[bool]:
+    """Marks the best container and the siblings that go with it."""
+    n = len(page.tag)
+    own, chars, links = [0.0] * n, [0] * n, [0] * n
+    for node, text, linked in blocks:
+        title = TITLE if page.tag[node] == "h1" and not linked else 0.0
+        own[max(page.up[node], 0) if page.tag[node] in LEAF else node] += _points(text, linked) + title
+        chars[node] += len(text)
+        links[node] += linked
+    points, chars, links = _gather(page, own, 0.5), _gather(page, chars), _gather(page, links)
+    worth = [p * (1 - x / c) * (BONUS if t in ("article", "main") else 1) if c else 0.0 for p, c, x, t in zip(points, chars, links, page.tag, strict=True)]
+    kept = [False] * n
+    best = max(range(n), key=lambda i: (worth[i], -i))
     if worth[best] <= 0:
-        return ""
-    best = next((i for i in reversed(list(_within(nodes, best))) if nodes[i].tag in ("article", "main")), best)
-    kept = {best}
-    if best:
-        for i, n in enumerate(nodes):
-            if n.up == nodes[best].up and i != best and n.chars:
-                free = n.linked <= 0.25 * n.chars
-                if free and (n.tag in HEADING or n.tag == "p" or n.tag == "article" or worth[i] >= max(10.0, 0.2 * worth[best])):
-                    kept.add(i)
-    return "\n".join(b.text for b in blocks if any(i in kept for i in _within(nodes, b.node)))
+        return kept
+    kept[best] = True
+    for i in range(1, n):
+        if best and page.up[i] == page.up[best] and chars[i] and links[i] <= 0.25 * chars[i]:
+            kept[i] = kept[i] or page.tag[i] in HEADING or page.tag[i] in ("p", "article") or worth[i] >= max(10.0, 0.2 * worth[best])
+    return kept
 
 
 def extract_pages(pages: DataFrame, source: str = "html") -> DataFrame:

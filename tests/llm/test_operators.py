@@ -2,6 +2,7 @@
 
 import collections
 import io
+import time
 import zlib
 
 import numpy as np
@@ -180,6 +181,44 @@ def test_html_wrappers_that_only_sound_like_something_else(attrs, inner):
     assert html_text.extract(page) == "T\nOne, two, three, four\nFive, six, seven"
 
 
+def test_html_scores_decide_without_names():
+    filler = "<p>One, two, three, four and more words of a sentence, as they come.</p>" * 3
+    page = (
+        "<head><title>t</title></head><body><ul><li><a href=a>Home</a></li><li><a href=b>More</a></li></ul><div>Buy this.</div>"
+        f"<TAG><h1>Title</h1>{filler}</TAG><div>Copyright, all rights.</div></body>"
+    )
+    want = "Title" + "\nOne, two, three, four and more words of a sentence, as they come." * 3
+    for tag in ("article", "main", "div", "section"):
+        assert html_text.extract(page.replace("TAG", tag)) == want
+        assert html_text.extract(page.replace("TAG", tag), blacklist=False) == want
+    # An article element is no trump: here it holds a teaser, and the text is elsewhere.
+    assert html_text.extract(f"<body><article><p>Teaser.</p></article><div><h1>T</h1>{filler * 2}</div></body>").startswith("T\nOne, two")
+
+
+def test_html_given_pages_by_scores_alone():
+    import pyarrow.parquet as pq
+
+    for page in pq.read_table("/root/testdata/sf0.01/pages.parquet").column("html").to_pylist():
+        want = html_text.extract(page)
+        assert html_text.extract(page.replace("<article", "<div").replace("</article", "</div"), blacklist=False) == want
+
+
+@pytest.mark.parametrize("page", ["<div>x, " * 100_000, "<b>" + "<div>x</b></p></span>" * 50_000, "<center><li>" * 50_000, "<span>x " * 100_000 + "<p>y" * 50_000])
+def test_html_deep_pages_take_time_in_line_with_their_length(page):
+    t = time.process_time()
+    html_text.extract(page)
+    assert time.process_time() - t < 20
+
+
+def test_html_tables(spark):
+    rows = [(1, "u", "<article><p>a &amp; b</p></article>", "old"), (2, None, None, None), (None, "v", "", "x"), (1, "u", "<article><p>a &amp; b</p></article>", "old")]
+    t = spark.createDataFrame(rows, "page_id long, url string, html string, TEXT string")
+    got = html_text.extract_pages(t)
+    assert got.columns == ["page_id", "url", "text", "n_chars"]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, "u", "a & b", 5), (2, None, "", 0), (None, "v", "", 0), (1, "u", "a & b", 5)], key=str)
+    assert html_text.extract_pages(t.limit(0)).count() == 0
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(3)
     x = rng.standard_normal((400, 8))
