@@ -194,7 +194,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
 
     # Queries that are equal are searched once, for k + 1 answers, since one of them may be the query itself.
     asked = rows.filter(is_query).groupBy("v").agg(F.min("vec_id").alias("query"))
-    asked = materialise(asked, "queries")
+    asked = materialise(asked, "queries").repartition(n_partitions(spark))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = shared.value.c

@@ -45,6 +45,9 @@ class ShardWriter:
         self.counts: list[int] = []
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+        ids = np.asarray(ids)
+        if len(ids) and int(ids.max()) >> (8 * self.width):
+            raise ValueError(f"id {int(ids.max())} does not fit into {self.width} bytes")
         raw = np.ascontiguousarray(ids, dtype=f"<u{self.width}").tobytes()
         frame = self.zstd.compress(raw)
         self.out.write(frame)

@@ -300,7 +300,7 @@ def _best(page: Page, blocks: list[tuple[int, str, int]]) -> list[bool]:
     kept[best] = True
     for i in range(1, n):
         if best and page.up[i] == page.up[best] and chars[i] and links[i] <= 0.25 * chars[i]:
-            kept[i] = kept[i] or page.tag[i] in HEADING or page.tag[i] in ("p", "article") or worth[i] >= max(10.0, 0.2 * worth[best])
+            kept[i] = kept[i] or page.tag[i] in HEADING or page.tag[i] == "p" or worth[i] >= max(10.0, 0.2 * worth[best])
     return kept
 
 

@@ -8,9 +8,10 @@ language that promises most is added while the likelihood rises by more than the
 the log of the number of phrases, and a floor).
 
 Counts come from all training documents, by hash buckets (2^16 for each language), so their size is bounded by the
-number of languages.  Cases: null text, or text without letters: `und` with score 0; no training document at all:
+number of languages.  The score is the share of the predicted language in the document: 1.0 where one language alone was
+selected.  Cases: null text, or text without letters: `und` with score 0; no training document at all:
 `und` for all; a single language: that one; ties go to the language first by name; repeated rows count again; an empty
-table gives an empty result; other columns aren't read.
+table gives an empty result; other columns aren't read; a very long text is one task's work, held whole.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 from .shared import n_partitions, text_of
 
 BUCKETS = 1 << 16
+#: Parts of a language's buckets that are added up apart.
+BLOCKS = 16
 SMOOTH = 0.5
 STEPS = 20
 PHRASE = 8
@@ -83,20 +86,24 @@ def train(docs: DataFrame, lang: str = "lang", text: str = "text") -> tuple[list
                     h2, h3, _, _ = letter_grams(own[part])
                     sums[name] = sums.get(name, 0) + np.bincount(h2, minlength=BUCKETS) + np.bincount(h3, minlength=BUCKETS)
         for name, x in sums.items():
-            yield pa.RecordBatch.from_pydict({"lang": [name], "counts": [zlib.compress(x.astype(np.int64).tobytes(), 1)]})
+            parts = [zlib.compress(y.tobytes(), 1) for y in np.split(x.astype(np.int64), BLOCKS)]
+            yield pa.RecordBatch.from_pydict({"lang": [name] * BLOCKS, "block": pa.array(range(BLOCKS), pa.int32()), "counts": parts})
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, np.ndarray] = {}
+        sums: dict[tuple[str, int], np.ndarray] = {}
         for b in batches:
-            for name, x in zip(b.column("lang").to_pylist(), b.column("counts").to_pylist(), strict=True):
-                sums[name] = sums.get(name, 0) + np.frombuffer(zlib.decompress(x), np.int64)
-        for name, x in sums.items():
-            yield pa.RecordBatch.from_pydict({"lang": [name], "counts": [zlib.compress(x.tobytes(), 1)]})
-
-    parts = rows.mapInArrow(count, "lang string, counts binary").repartition(n_partitions(docs.sparkSession), "lang").mapInArrow(add, "lang string, counts binary")
-    found = {r["lang"]: np.frombuffer(zlib.decompress(bytes(r["counts"])), np.int64) for r in parts.collect()}  # one array for each language
+            for *key, x in zip(*(b.column(c).to_pylist() for c in ("lang", "block", "counts")), strict=True):
+                sums[tuple(key)] = sums.get(tuple(key), 0) + np.frombuffer(zlib.decompress(x), np.int64)
+        for (name, k), x in sums.items():
+            yield pa.RecordBatch.from_pydict({"lang": [name], "block": pa.array([k], pa.int32()), "counts": [zlib.compress(x.tobytes(), 1)]})
+
+    kind = "lang string, block int, counts binary"
+    parts = rows.mapInArrow(count, kind).repartition(n_partitions(docs.sparkSession), "lang", "block").mapInArrow(add, kind)
+    found: dict[str, dict[int, np.ndarray]] = {}
+    for r in parts.collect():  # one array for each language, in blocks
+        found.setdefault(r["lang"], {})[r["block"]] = np.frombuffer(zlib.decompress(bytes(r["counts"])), np.int64)
     names = sorted(found)
-    counts = np.array([found[n] for n in names], dtype=np.float64).reshape(len(names), BUCKETS) + SMOOTH
+    counts = np.array([np.concatenate([found[n][k] for k in range(BLOCKS)]) for n in names], dtype=np.float64).reshape(len(names), BUCKETS) + SMOOTH
     return names, np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
 
 

@@ -7,12 +7,12 @@
    it has rows of, one at a time, and only lines to drop come back.
 3. Those are gathered by document and the text is rewritten.
 
-Lines are never joined with lines.  A line that a third of all documents hold is one row a batch in step 1 and spread
-over the salts in step 2.
+Lines are never joined with lines.  A line that a third of all documents hold is one row a batch in step 1; in step 2 a
+shard has salts in line with its rows, and rows take them by their place, so copies of a document part too.
 
 Cases: a null or empty text is one empty line; rows that repeat count as documents of their own, and rows with the
 largest id all keep the line; a null id is smaller than all others; an empty table gives an empty result; other
-columns pass through, and result columns replace input columns of the same name.
+columns pass through, and result columns replace input columns of the same name; a very long text is one row's work.
 """
 
 from __future__ import annotations
@@ -22,16 +22,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .files import create, open_input
 from .perfect import PerfectHash, load, save
-from .shared import LOWER, NULL_ID, WS, materialise, n_partitions, new_dir, text_of
+from .shared import LOWER, NULL_ID, WS, discard, materialise, new_dir, tasks_for, text_of
 
-SALTS = 8
+#: Groups of rows for each shard in the probe, on average; a shard with more rows has more.
+SALTS = 4
+#: Rows of sums held before they are merged.
+HELD = 500_000
 _UPPER = re.compile("[A-Z]")
 _SUMS = "shard int, a long, b long, n long, top long"
 _PROBE = "shard int, salt int, a long, b long, doc_id long, row long, k int"
@@ -79,10 +81,10 @@ def _merge(h: np.ndarray, n: np.ndarray, top: np.ndarray) -> tuple[np.ndarray, n
     return h[first], np.add.reduceat(n, first) if len(first) else n, np.maximum.reduceat(top, first) if len(first) else top
 
 
-def index_lines(docs: DataFrame, least: int = 40, shards: int | None = None) -> tuple[str, int]:
-    """Write the index of docs (doc_id long, text string, neither null) and return its folder and number of shards."""
+def index_lines(docs: DataFrame, least: int = 40, shards: int | None = None) -> tuple[str, list[int]]:
+    """Write the index of docs (doc_id long, text string, neither null) and return its folder and the salts of each shard."""
     spark = docs.sparkSession
-    count = shards or n_partitions(spark)
+    count = shards or tasks_for(docs)
     at = new_dir(spark, "line-index")
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,33 +95,47 @@ def index_lines(docs: DataFrame, least: int = 40, shards: int | None = None) ->
             yield _batch(count, {"a": h[:, 0].view("i8"), "b": h[:, 1].view("i8"), "n": n, "top": top}, h)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
-        col = lambda x, c: x.column(c).to_numpy()
-        for s in np.unique(col(t, "shard")) if t else []:
-            x = t.filter(pc.equal(t.column("shard"), int(s)))
-            h, n, top = _merge(np.stack([np.ascontiguousarray(col(x, "a")).view("u8"), np.ascontiguousarray(col(x, "b")).view("u8")]).T, col(x, "n"), col(x, "top"))
+        held: dict[int, list[tuple]] = {}
+        size = 0
+
+        def merged(parts: list[tuple]) -> tuple:
+            return _merge(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+
+        for batch in batches:
+            col = {c: batch.column(c).to_numpy() for c in ("shard", "a", "b", "n", "top")}
+            for s in np.unique(col["shard"]):
+                at_s = np.flatnonzero(col["shard"] == s)
+                held.setdefault(int(s), []).append((np.stack([col["a"][at_s].view("u8"), col["b"][at_s].view("u8")]).T, col["n"][at_s], col["top"][at_s]))
+            size += batch.num_rows
+            if size > HELD:  # what remains are distinct hashes
+                held, size = {s: [merged(x)] for s, x in held.items()}, 0
+        for s, parts in held.items():
+            h, n, top = merged(parts)
             a, b = np.ascontiguousarray(h[:, 0]), np.ascontiguousarray(h[:, 1])
             mph = PerfectHash.build(a, b)
             order = np.empty(len(h), "i8")
             order[mph.find(a, b)] = np.arange(len(h))
             with create(f"{at}/{s:06d}.npz") as out:
                 out.write(save(mph, mark=(b[order] & np.uint64(0xFFFFFFFF)).astype("u4"), count=np.minimum(n[order], 0xFFFFFFFF).astype("u4"), top=top[order]))
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([s], pa.int32()), "keys": pa.array([len(h)], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"shard": pa.array([s], pa.int32()), "keys": pa.array([len(h)], pa.int64()), "rows": pa.array([int(n.sum())], pa.int64())})
 
-    docs.mapInArrow(sums, _SUMS).repartition(count, "shard").mapInArrow(build, "shard int, keys long").write.parquet(f"{at}/manifest")
-    return at, count
+    docs.mapInArrow(sums, _SUMS).repartition(count, "shard").mapInArrow(build, "shard int, keys long, rows long").write.parquet(f"{at}/manifest")
+    rows = {r["shard"]: r["rows"] for r in spark.read.schema("shard int, keys long, rows long").parquet(f"{at}/manifest").collect()}  # one for each shard
+    mean = max(1.0, sum(rows.values()) / count)
+    return at, [max(1, -(-SALTS * rows.get(s, 0) // int(mean))) for s in range(count)]
 
 
-def probe_lines(docs: DataFrame, index: tuple[str, int], least: int = 40, min_docs: int = 5) -> DataFrame:
+def probe_lines(docs: DataFrame, index: tuple[str, list[int]], least: int = 40, min_docs: int = 5) -> DataFrame:
     """(doc_id, row, drop): of docs (doc_id, text, row) those with lines to drop, as ordinals of their distinct keys."""
-    at, count = index
-    parts = n_partitions(docs.sparkSession)
+    at, salts = index[0], np.array(index[1], np.int64)
+    count = len(salts)
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             h, row, k = _rows(b, least)
             ids, key = (b.column(c).to_numpy(zero_copy_only=False)[row] for c in (0, 2))
-            yield _batch(count, {"salt": (key % SALTS).astype("i4"), "a": h[:, 0].view("i8"), "b": h[:, 1].view("i8"), "doc_id": ids, "row": key, "k": k}, h)
+            salt = row % salts[(h[:, 0] % np.uint64(count)).astype(np.int64)]  # by place, so that copies part
+            yield _batch(count, {"salt": salt.astype("i4"), "a": h[:, 0].view("i8"), "b": h[:, 1].view("i8"), "doc_id": ids, "row": key, "k": k}, h)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, shard = None, None
@@ -137,7 +153,7 @@ def probe_lines(docs: DataFrame, index: tuple[str, int], least: int = 40, min_do
                 out = here[known & (x["count"][i] >= min_docs) & (x["top"][i] != num["doc_id"][here])]
                 yield pa.RecordBatch.from_pydict({c: num[c][out] for c in ("doc_id", "row", "k")})
 
-    hit = docs.mapInArrow(hashes, _PROBE).repartition(parts, "shard", "salt").sortWithinPartitions("shard").mapInArrow(probe, "doc_id long, row long, k int")
+    hit = docs.mapInArrow(hashes, _PROBE).repartition(count, "shard", "salt").sortWithinPartitions("shard").mapInArrow(probe, "doc_id long, row long, k int")
     return hit.groupBy("doc_id", "row").agg(F.collect_set("k").alias("drop"))
 
 
@@ -161,6 +177,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lea
     own = own.withColumn("row", F.xxhash64("text").bitwiseAND(F.lit((1 << 63) - 1)))
     index = index_lines(own.select("doc_id", "text"), least)
     hits = materialise(probe_lines(own, index, least, min_docs), "line-hits")
+    discard(docs.sparkSession, index[0])
     keep = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
     full = docs.select(*[F.col(c) for c in keep], F.coalesce(docs[id_col].cast("long"), F.lit(NULL_ID)).alias("__lf_id"), F.xxhash64(text_of(docs, text)).bitwiseAND(F.lit((1 << 63) - 1)).alias("__lf_row"))
     hit = hits.select(F.col("doc_id").alias("__lf_id"), F.col("row").alias("__lf_row"), F.col("drop").alias("__lf_drop"))

@@ -10,7 +10,9 @@ Pieces then take places by their rank among pieces of their length.  Ranks come
 row numbers within (length, salt), so a length that a third of all pieces has is spread over many tasks.
 
 Cases: a length of 0 can't occur (each document has its end id); ties in length are broken by the hash of the row;
-repeated rows are pieces of their own; an empty table gives no sequence.
+repeated rows are pieces of their own; an empty table gives no sequence; a null or empty text is its end id; a very
+long one is cut by encode_pieces, its first piece being the short one; other columns pass through, and sequence_id and
+offset replace columns of these names.
 """
 
 from __future__ import annotations
@@ -80,6 +82,7 @@ def _two_for(left: np.ndarray, bin_: dict[int, int], small: int, gap: int, most:
 def pack(pieces: DataFrame, most: int) -> DataFrame:
     """pieces (with a column length, 1 to most) plus sequence_id and offset.  pieces must be a written table: it is read twice."""
     spark = pieces.sparkSession
+    pieces = pieces.drop(*[c for c in pieces.columns if c.lower() in ("sequence_id", "offset")])
     counts = np.zeros(most + 1, dtype=np.int64)
     for r in pieces.groupBy("length").count().collect():  # at most `most` rows
         counts[r["length"]] = r["count"]

@@ -1,9 +1,10 @@
 """Quality rules: a table of thresholds compiled into one Spark projection.
 
 Every figure is an expression of built-in functions over the document's own row: no join, no shuffle, no user
-function.  Cases: a null text has no words; a document without words fails the base rule (n_words < 20); an empty
-table gives an empty result; other columns, also such as share a name with a figure, don't matter (a result column
-replaces one of its name).
+function.  Cases: a null text has no words; a document without words fails the base rule (n_words < 20); a figure on a
+threshold passes; repeated rows are judged each, alike; a very long text is one row's work, in arrays of its words; an
+empty table gives an empty result; other columns, also such as share a name with a figure, don't matter (a result
+column replaces one of its name).
 """
 
 from __future__ import annotations

@@ -66,6 +66,12 @@ def n_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def tasks_for(df: DataFrame, each: int = 1 << 27) -> int:
+    """Tasks for a shuffle in line with df: as many as the session says, and more where df's files hold more than `each` bytes a task."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return max(n_partitions(df.sparkSession), -(-size // each) if size < 1 << 50 else 0)  # beyond that its size is unknown
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

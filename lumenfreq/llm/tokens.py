@@ -5,7 +5,9 @@ for each shard tells its place, documents and tokens.  Starts of documents are s
 shard and over documents before it in the shard: no global sort of tokens, no pass over a single task.
 
 Cases: a null text counts as empty and still gets the end id; repeated ids stay side by side in the order of their
-texts; a null id comes first; an empty table gives one shard without documents or none; other columns aren't read.
+texts; a null id comes first; an empty table gives one shard without documents or none; other columns, also such as
+share a name with a result column, aren't read.  A very long text is one frame: it is held whole while it is encoded.
+Strings of special tokens in a text are ordinary text, so no text can forge an end.
 """
 
 from __future__ import annotations
@@ -27,10 +29,10 @@ from .vocab import encoder
 MANIFEST = "shard int, path string, docs long, tokens long"
 
 
-def write_shards(docs: DataFrame, tokenizer: str, end_id: int, path: str | None = None, id_col: str = "doc_id", text: str = "text", width: int = 2, shards: int | None = None) -> DataFrame:
+def write_shards(docs: DataFrame, tokenizer: str, end_id: int, path: str | None = None, id_col: str = "doc_id", text: str = "text", width: int | None = None, shards: int | None = None) -> DataFrame:
     """Write every document and return the manifest (shard, path, docs, tokens), itself written beside the shards.
 
-    width: bytes for a token, 2 where ids stay below 65,536.
+    width: bytes for a token; as the vocabulary needs, 2 or 4, if not given.
     """
     spark = docs.sparkSession
     at = path or new_dir(spark, "tokens")
@@ -42,7 +44,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, path: str | None
         name = f"{at}/shard-{shard:06d}.zst"
         end = np.array([end_id], dtype="<u4")
         with create(name) as out:
-            w = ShardWriter(out, width)
+            w = ShardWriter(out, width or (2 if max(enc.size, end_id + 1) <= 1 << 16 else 4))
             for b in batches:
                 for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                     w.add(i, np.concatenate([np.frombuffer(enc.encode(t), "<u4"), end]))
@@ -53,7 +55,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, path: str | None
     return spark.read.schema(MANIFEST).parquet(f"{at}/manifest")
 
 
-def read_shards(spark: SparkSession, manifest: DataFrame, width: int = 2) -> DataFrame:
+def read_shards(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     """Every document of the shards: doc_id, start (ids before it), n_tokens, ids_crc32 (of little-endian uint32 ids).
 
     Each frame is found by the seek table, decompressed and held against its checksum.

@@ -74,7 +74,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text: no text can forge an end id
+        self.size = self.tokenizer.get_vocab_size()
         self.tokenize = self.tokenizer.model.tokenize
         self.lower = "Lowercase" in str(self.tokenizer.normalizer)
         self.spaces = self.tokenizer.normalizer is None
