@@ -68,7 +68,7 @@ def n_partitions(spark: SparkSession) -> int:
 
 def tasks_for(df: DataFrame, each: int = 1 << 27) -> int:
     """Tasks for a shuffle in line with df: as many as the session says, and more where df's files hold more than `each` bytes a task."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return max(n_partitions(df.sparkSession), -(-size // each) if size < 1 << 50 else 0)  # beyond that its size is unknown
 
 
