@@ -19,7 +19,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that many documents share stay in one; n_chars follows the text."""
     from pyspark.sql import functions as F
 
-    x = lines.dedup_lines(docs).select(*docs.columns)
+    x = lines.dedup_lines(docs, figures=False)
     return x.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else x
 
 
@@ -42,7 +42,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("jaccard_join", jaccard_join), ("mix_sources", mix_sources), ("pack_sequences", pack_sequences)]
 
-#: Tokenising, hash thresholds and packing can't be said in SQL; tests hold the operators of the stages, but not run() yet, against plain Python.
+#: Tokenising, hash thresholds and packing can't be said in SQL; tests hold run(), stage by stage, against plain Python.
 ORACLE_SQL = None
 
 

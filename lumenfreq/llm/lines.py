@@ -167,8 +167,8 @@ def _without(text: str, drop: set[int], least: int) -> tuple[str, int]:
     return "\n".join(kept), len(lines) - len(kept)
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: int = 40, min_docs: int = 5) -> DataFrame:
-    """docs with the text rewritten, and n_lines (before) and n_dropped.
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: int = 40, min_docs: int = 5, figures: bool = True) -> DataFrame:
+    """docs with the text rewritten, and with figures also n_lines (before) and n_dropped.
 
     A line whose key (white space stripped at both ends, A-Z lower-cased) has at least `least` code points and is in
     at least `min_docs` documents stays only in the document of the largest id that holds it.
@@ -178,7 +178,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lea
     index = index_lines(own.select("doc_id", "text"), least)
     hits = materialise(probe_lines(own, index, least, min_docs), "line-hits")
     discard(docs.sparkSession, index[0])
-    keep = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
+    keep = [c for c in docs.columns if not figures or c.lower() not in ("n_lines", "n_dropped")]
     full = docs.select(*[F.col(c) for c in keep], F.coalesce(docs[id_col].cast("long"), F.lit(NULL_ID)).alias("__lf_id"), F.xxhash64(text_of(docs, text)).bitwiseAND(F.lit((1 << 63) - 1)).alias("__lf_row"))
     hit = hits.select(F.col("doc_id").alias("__lf_id"), F.col("row").alias("__lf_row"), F.col("drop").alias("__lf_drop"))
     x = full.join(hit, ["__lf_id", "__lf_row"], "left").select(*keep, "__lf_drop")
@@ -193,7 +193,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lea
                 before.append((t or "").count("\n") + 1)
                 gone.append(n)
             cols = [b.column(c) if c != text else pa.array(new, b.column(place).type) for c in keep]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(before, pa.int64()), pa.array(gone, pa.int64())], names=[*keep, "n_lines", "n_dropped"])
-
-    schema = docs.select(*keep).schema.add("n_lines", "long").add("n_dropped", "long")
+            if figures:
+                cols += [pa.array(before, pa.int64()), pa.array(gone, pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    schema = docs.select(*keep).schema
+    if figures:
+        schema = schema.add("n_lines", "long").add("n_dropped", "long")
+    names = schema.names
     return x.mapInArrow(rewrite, schema)
