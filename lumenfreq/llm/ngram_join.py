@@ -41,7 +41,7 @@ from .shared import discard, materialise, n_partitions, new_dir, small, text_of
 #: Counters at most, as a power of two, and at least (also the blocks of counters that are added up apart).
 MOST_BITS, LEAST_BITS, BLOCK_BITS = 26, 16, 6
 #: N-grams held before their counters are written.
-HELD = 4_000_000
+HELD = 2_000_000
 #: Partners that one task of the verification holds against a class.
 PARTNERS = 512
 SIG = ("s0", "s1", "s2", "s3")
@@ -51,7 +51,7 @@ SMALL = 32
 PIVOT_FROM = 4
 #: Classes of one n-gram in a chunk; a task holds two.
 CHUNK = 1024
-_MOST_WORDS = 500_000
+_MOST_WORDS = 100_000
 
 
 class _Words(dict):
@@ -112,19 +112,15 @@ def _level(counts: np.ndarray) -> np.ndarray:
     return np.where(counts <= 128, counts, np.minimum(128 + np.ceil(6 * np.log2(np.maximum(counts, 128) / 128)), 255)).astype(np.uint8)
 
 
-_HELD_LEVELS: dict[str, np.ndarray] = {}
-
-
 def _levels(at: str) -> np.ndarray:
-    """All counters of a sketch, read once by each worker."""
-    if at not in _HELD_LEVELS:
-        _HELD_LEVELS.clear()
-        parts = []
-        for k in range(1 << BLOCK_BITS):
-            with open_input(f"{at}/{k:04d}") as f:
-                parts.append(np.frombuffer(f.read(), np.uint8))
-        _HELD_LEVELS[at] = np.concatenate(parts)
-    return _HELD_LEVELS[at]
+    """All counters of a sketch.  Each task reads them anew and lets them go: workers live on with other work to do."""
+    out = None
+    for k in range(1 << BLOCK_BITS):
+        with open_input(f"{at}/{k:04d}") as f:
+            part = np.frombuffer(f.read(), np.uint8)
+        out = np.empty(len(part) << BLOCK_BITS, np.uint8) if out is None else out
+        out[k * len(part) : (k + 1) * len(part)] = part
+    return out
 
 
 def document_sets(docs: DataFrame, n: int) -> tuple[DataFrame, str]:

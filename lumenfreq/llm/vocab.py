@@ -20,7 +20,7 @@ _PLAIN = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
 _EDGES = ("  ", " \n", "\n ", "\t", "\r", "\x0b", "\x0c")
 #: Bytes that the three dictionaries hold in each worker: of chunks met again, and of chunks met once so far; and what an
 #: entry takes besides its characters and ids.
-KEPT_BYTES, NEW_BYTES = 100 << 20, 50 << 20
+KEPT_BYTES, NEW_BYTES = 70 << 20, 30 << 20
 _ENTRY = 140
 _LONGEST = 64
 
