@@ -12,11 +12,11 @@ def cut(x: Step, lo: float, hi: float) -> Step:
 
 
 def band_limit(x: Step, lo: float, hi: float) -> Step:
-    """The band clamped to the grid; a band of less than nothing becomes the single bin nearest its lower border."""
+    """The band clamped to the grid.  If its borders are swapped, the upper one counts for both and must be a bin: then that bin
+    stays, and else nothing does."""
     edge = step("SELECT min(freq) AS f0, max(freq) AS f1 FROM {x}", x=x)
     if hi < lo:
-        near = step(f"SELECT min_by(freq, abs(freq - {hi!r}e0)) AS f FROM {{x}}", x=x)
-        return step("SELECT x.* FROM {x} x CROSS JOIN {n} WHERE freq = f", x=x, n=near)
+        return step(f"SELECT x.* FROM {{x}} x CROSS JOIN {{e}} WHERE abs(freq - greatest(least({hi!r}e0, f1), f0)) < 1e-12", x=x, e=edge)
     return step(f"SELECT x.* FROM {{x}} x CROSS JOIN {{e}} WHERE freq >= greatest({lo!r}e0, f0) AND freq <= least({hi!r}e0, f1)", x=x, e=edge)
 
 
@@ -57,8 +57,13 @@ def null_bands(travel_time: float, lo: float, hi: float, half_width: float) -> S
 def coarse_bins(x: Step, nh: int) -> Step:
     """(h, freq, n): groups of nh bins and the frequency of the member in the middle (the earlier one of two)."""
     middle = nh // 2 if nh % 2 else nh // 2 - 1
-    placed = step("SELECT freq, row_number() OVER (ORDER BY k) - 1 AS p FROM (SELECT DISTINCT k, freq FROM {x})", x=x)
-    return step(f"SELECT CAST(floor(p / {nh}e0) AS BIGINT) AS h, max(CASE WHEN p % {nh} = {middle} THEN freq END) AS freq, count(*) AS n FROM {{p}} GROUP BY floor(p / {nh}e0)", p=placed)
+    placed = _placed(x)
+    return step(f"SELECT CAST(floor(p / {nh}e0) AS BIGINT) AS h, max(CASE WHEN p % {nh} = {middle} THEN freq END) AS freq, count(*) AS n FROM (SELECT DISTINCT k, freq, p FROM {{p}}) GROUP BY floor(p / {nh}e0)", p=placed)
+
+
+def _placed(x: Step) -> Step:
+    """x with p, the place of its bin: bins are dense, so it is k less the first k, and no row waits for another."""
+    return step("SELECT x.*, k - k0 AS p FROM {x} x CROSS JOIN (SELECT min(k) AS k0 FROM {x})", x=x)
 
 
 def resolve_bins(n: int, nc: int | None = None, nh: int | None = None) -> tuple[int, int]:
@@ -76,12 +81,12 @@ def resolve_bins(n: int, nc: int | None = None, nh: int | None = None) -> tuple[
 
 def coarse_power(x: Step, nh: int) -> Step:
     """Power summed within groups of nh bins."""
-    placed = step(f"SELECT power, freq, CAST(floor((row_number() OVER (ORDER BY k) - 1) / {nh}e0) AS BIGINT) AS h FROM {{x}}", x=x)
+    placed = step(f"SELECT power, freq, CAST(floor(p / {nh}e0) AS BIGINT) AS h FROM {{x}}", x=_placed(x))
     return step("SELECT s.h, b.freq, s.power FROM (SELECT h, sum(power) AS power FROM {p} GROUP BY h) s JOIN {b} b ON b.h = s.h", p=placed, b=coarse_bins(x, nh))
 
 
 def coarse_wishart(y: Step, nh: int) -> Step:
-    placed = step(f"SELECT i, j, re, im, CAST(floor((dense_rank() OVER (ORDER BY k) - 1) / {nh}e0) AS BIGINT) AS h FROM {{y}}", y=y)
+    placed = step(f"SELECT i, j, re, im, CAST(floor(p / {nh}e0) AS BIGINT) AS h FROM {{y}}", y=_placed(y))
     return step("SELECT s.h AS k, b.freq, i, j, re, im FROM (SELECT h, i, j, sum(re) AS re, sum(im) AS im FROM {p} GROUP BY h, i, j) s JOIN {b} b ON b.h = s.h", p=placed, b=coarse_bins(y, nh))
 
 

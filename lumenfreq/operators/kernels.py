@@ -1,24 +1,26 @@
-"""What SQL can't say well: long transforms, splines' penalties, samplers and chain diagnostics, as grouped Arrow tasks.
+"""What SQL can't say well: long transforms, simulated series and splines' penalties, as Arrow tasks.
 
-One task handles one series, chain or factor; state never leaves it.
+A task handles one series at least; a series is never split over tasks, so it must fit into one.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.series import EVENT_N, hourly_events
+from ..sources.series import hourly_events
 from .spectral import standardise, total
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _rounded(df: DataFrame) -> DataFrame:
+def rounded(df: DataFrame) -> DataFrame:
     return df.select(*[(F.round(c, 6) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
@@ -85,85 +87,26 @@ def fit_log_spline(power: np.ndarray, basis: np.ndarray, ridge: float = 1e-6) ->
     return np.linalg.solve(gram + ridge * max(np.trace(gram) / len(gram), 1.0) * np.eye(len(gram)), basis.T @ np.log(np.maximum(power, 1e-300)))
 
 
-def whittle(power: np.ndarray, basis: np.ndarray, pen: np.ndarray, phi: float):
-    """Log posterior density of the weights at smoothing phi, and its gradient."""
-
-    def f(w: np.ndarray) -> tuple[float, np.ndarray]:
-        s = basis @ w
-        r = power * np.exp(-s)
-        pw = pen @ w
-        return float(-0.5 * (s.sum() + r.sum()) - 0.5 * phi * w @ pw), -0.5 * (basis.T @ (1 - r)) - phi * pw
-
-    return f
-
-
-def hmc(f, w: np.ndarray, mass: np.ndarray, draws: int, warm: int, rng: np.random.Generator, steps: int = 12) -> tuple[np.ndarray, np.ndarray]:
-    """Hamiltonian draws with a step size adapted during the warm-up; mass: the metric's Cholesky factor of the covariance."""
-    g = lambda z: (lambda v: (v[0], mass.T @ v[1]))(f(w0 + mass @ z))
-    w0, z, eps = w.copy(), np.zeros(len(w)), 0.3
-    lp, grad = g(z)
-    out, accept = [], []
-    for n in range(draws + warm):
-        p = rng.standard_normal(len(z))
-        z1, p1, g1 = z.copy(), p + 0.5 * eps * grad, grad
-        for k in range(steps):
-            z1 = z1 + eps * p1
-            lp1, g1 = g(z1)
-            p1 = p1 + (eps if k < steps - 1 else 0.5 * eps) * g1
-        a = np.exp(min(0.0, lp1 - lp - 0.5 * (p1 @ p1 - p @ p))) if np.isfinite(lp1) else 0.0
-        if rng.random() < a:
-            z, lp, grad = z1, lp1, g1
-        if n < warm:
-            eps *= np.exp((a - 0.8) / np.sqrt(n + 1))
-        else:
-            out.append(w0 + mass @ z)
-            accept.append(a)
-    return np.array(out), np.array(accept)
-
-
-def fit_chains(power: DataFrame, chains: int = 2, draws: int = 200, warm: int = 100, n_knots: int = 10, phi: float = 1.0) -> DataFrame:
-    """(chain, draw, b, w, accept): a Laplace start, then Hamiltonian draws, one task a chain.  power: (k, power)."""
-    spark = power.sparkSession
-    many = power.crossJoin(spark.range(chains).withColumnRenamed("id", "chain"))
+def array_periodograms(rows: DataFrame, key: str, values: str, fs: float = 1.0) -> DataFrame:
+    """(key, k, freq, power) of a column of arrays, one series each: transformed a batch at a time where the rows are, without a shuffle.
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("k")
-        chain, y = int(p["chain"].iloc[0]), p["power"].to_numpy()
-        knots = np.linspace(0, 1, n_knots)
-        basis, pen = bspline(np.linspace(0, 1, len(y)), knots, 3), penalty(knots)
-        f = whittle(y, basis, pen, phi)
-        w = fit_log_spline(y, basis)
-        for _ in range(20):
-            r = y * np.exp(-basis @ w)
-            hess = 0.5 * basis.T @ (basis * np.maximum(r, 1e-3)[:, None]) + phi * pen
-            w = w + np.clip(np.linalg.solve(hess, f(w)[1]), -2, 2)
-        mass = np.linalg.cholesky(np.linalg.inv(hess))
-        found, acc = hmc(f, w, mass, draws, warm, np.random.default_rng(1000 + chain))
-        d, b = np.indices(found.shape)
-        return pd.DataFrame({"chain": chain, "draw": d.ravel(), "b": b.ravel(), "w": found.ravel(), "accept": np.repeat(acc, found.shape[1])})
-
-    return many.groupBy("chain").applyInPandas(run, "chain long, draw long, b long, w double, accept double")
-
-
-def chain_stats(draws: DataFrame) -> DataFrame:
-    """(b, rhat, ess): split R-hat and effective sample size by Geyer's initial monotone pairs, one task a parameter."""
+    Arrays of one length are one transform; null arrays, and those of fewer than two samples, give no rows.
+    """
+    kind = dict(rows.dtypes)[key]
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        x = p.pivot(index="draw", columns="chain", values="w").sort_index().to_numpy()
-        half = len(x) // 2
-        s = np.concatenate([x[:half], x[half : 2 * half]], axis=1).T
-        n = s.shape[1]
-        within, between = s.var(axis=1, ddof=1).mean(), n * s.mean(axis=1).var(ddof=1)
-        var = (n - 1) / n * within + between / n
-        c = s - s.mean(axis=1, keepdims=True)
-        acov = np.fft.irfft(np.abs(np.fft.rfft(c, 2 * n, axis=1)) ** 2, axis=1)[:, :n].mean(axis=0) / n
-        rho = 1 - (within - acov * n / (n - 1)) / var
-        pairs = rho[: n // 2 * 2].reshape(-1, 2).sum(axis=1)
-        stop = int(np.argmax(pairs < 0)) if (pairs < 0).any() else len(pairs)
-        tau = -1 + 2 * np.minimum.accumulate(pairs[:stop]).sum() if stop else 1.0
-        return pd.DataFrame({"b": [p["b"].iloc[0]], "rhat": [float(np.sqrt(var / within))], "ess": [float(s.size / max(tau, 1e-3))]})
-
-    return draws.groupBy("b").applyInPandas(run, "b long, rhat double, ess double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            column = b.column(1)
+            size = np.array([0 if n is None else n for n in pc.list_value_length(column).to_pylist()])
+            for n in np.unique(size[size > 1]):
+                at = pa.array(np.flatnonzero(size == n))
+                y = column.take(at).flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
+                power = 2 * np.abs(np.fft.rfft(y, axis=1)[:, 1:]) ** 2 / n / fs
+                k = np.arange(1, power.shape[1] + 1)
+                ids = b.column(0).take(pa.array(np.repeat(at.to_numpy(), len(k))))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(np.tile(k, len(at))), pa.array(np.tile(k * fs / n, len(at))), pa.array(power.ravel())], names=[key, "k", "freq", "power"])
+
+    return rows.select(key, F.col(values).cast("array<double>")).mapInArrow(run, f"{key} {kind}, k long, freq double, power double")
 
 
 def _power(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,30 +115,21 @@ def _power(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _fft(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(_power(spark, sf_dir).select("k", "freq", "power"))
+    return rounded(_power(spark, sf_dir).select("k", "freq", "power"))
 
 
 def _embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.posexplode("embedding").alias("t", "y"))
-    return _rounded(fft_periodogram(e.select("vec_id", F.col("t").cast("long").alias("t_idx"), F.col("y").cast("double").alias("y")), "vec_id"))
+    return rounded(array_periodograms(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding"))
 
 
 def _ar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(ar_series(spark.range(4).withColumnRenamed("id", "run"), [0.9, -0.4], 256))
+    return rounded(ar_series(spark.range(4).withColumnRenamed("id", "run"), [0.9, -0.4], 256))
 
 
 def _penalty(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = penalty(np.linspace(0, 1, 10))
     i, j = np.indices(p.shape)
-    return _rounded(spark.createDataFrame(pd.DataFrame({"b": i.ravel(), "b2": j.ravel(), "v": p.ravel()})))
-
-
-def _draws(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(fit_chains(_power(spark, sf_dir).filter("power > 0").select("k", "power")))
-
-
-def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(chain_stats(fit_chains(_power(spark, sf_dir).filter("power > 0").select("k", "power"))))
+    return rounded(spark.createDataFrame(pd.DataFrame({"b": i.ravel(), "b2": j.ravel(), "v": p.ravel()})))
 
 
 def _fit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,9 +138,15 @@ def _fit(spark: SparkSession, sf_dir: str) -> DataFrame:
         w = fit_log_spline(p["power"].to_numpy(), bspline(np.linspace(0, 1, len(p)), np.linspace(0, 1, 10), 3))
         return pd.DataFrame({"b": np.arange(len(w)), "w": w})
 
-    return _rounded(_power(spark, sf_dir).groupBy("series_id").applyInPandas(run, "b long, w double"))
+    return rounded(_power(spark, sf_dir).groupBy("series_id").applyInPandas(run, "b long, w double"))
 
 
-QUERIES: dict[str, Query] = {"fft_periodogram": _fft, "embedding_periodograms": _embeddings, "ar_series": _ar, "bspline_penalty": _penalty, "spline_fit_ls": _fit, "hmc_univar": _draws, "chain_diagnostics": _stats}
+QUERIES: dict[str, Query] = {"fft_periodogram": _fft, "embedding_periodograms": _embeddings, "ar_series": _ar, "bspline_penalty": _penalty, "spline_fit_ls": _fit}
 #: Queries whose rows must equal those of a plan.
 SAME_AS = {"fft_periodogram": "periodogram"}
+#: Transforms of the arrays by definition.
+EMBEDDING_SQL = """
+WITH e AS (SELECT vec_id, unnest(embedding) AS y, generate_subscripts(embedding, 1) - 1 AS t, len(embedding) AS n FROM embeddings),
+k AS (SELECT unnest(generate_series(1, 32)) AS k),
+d AS (SELECT vec_id, k, n, sum(CAST(y AS DOUBLE) * cos(2 * pi() * ((t * k) % n) / n)) AS re, sum(CAST(y AS DOUBLE) * sin(2 * pi() * ((t * k) % n) / n)) AS im FROM e JOIN k ON k <= n // 2 GROUP BY vec_id, k, n)
+SELECT vec_id, CAST(k AS BIGINT) AS k, round(k / n, 6) AS freq, round(2 * (re * re + im * im) / n, 6) + CAST(0 AS DOUBLE) AS power FROM d"""

@@ -21,14 +21,6 @@ def knots_log(n: int, lo: float) -> Step:
     return step(f"SELECT v AS idx, CASE WHEN v = 0 THEN 0e0 WHEN v = {n - 1} THEN 1e0 ELSE pow(1e1, log10({lo!r}e0) * (1e0 - (v - 1) / {n - 2}e0)) END AS u FROM $seq(0, {n - 1}) g")
 
 
-def knots_quantile(power: Step, n: int) -> Step:
-    """Knots at equal steps of the running sum of the gradient of log power over a floor of one percent of its mean."""
-    g = step("SELECT k, freq, abs(coalesce(lead(ln(power)) OVER (ORDER BY k), ln(power)) - coalesce(lag(ln(power)) OVER (ORDER BY k), ln(power))) / 2e0 AS s FROM {p}", p=power)
-    m = step("SELECT g.k, g.freq, s + 1e-2 * avg(s) OVER () AS s, (g.freq - min(g.freq) OVER ()) / (max(g.freq) OVER () - min(g.freq) OVER ()) AS u FROM {g} g", g=g)
-    c = step("SELECT k, u, sum(s) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / sum(s) OVER () AS cdf FROM {m}", m=m)
-    return step(f"SELECT g.v AS idx, CASE WHEN g.v = 0 THEN 0e0 WHEN g.v = {n - 1} THEN 1e0 ELSE min(CASE WHEN cdf >= g.v / {n - 1}e0 THEN u END) END AS u FROM {{c}} CROSS JOIN $seq(0, {n - 1}) g GROUP BY g.v", c=c)
-
-
 def basis(knots: Step, grid: Step, degree: int = 3, n_knots: int = 0) -> Step:
     """(k, b, v) for a grid (k, u), zeros left out.  n_knots: for evenly spaced knots, their number."""
     n = step("SELECT count(*) AS n FROM {k}", k=knots)
@@ -77,3 +69,17 @@ def evaluate(b: Step, weights: Step) -> Step:
 
 def whittle_terms(power: Step, log_psd: Step, nh: int = 1) -> Step:
     return step(f"SELECT p.k, -5e-1 * ({nh}e0 * s.log_psd + exp(ln(p.power) - s.log_psd)) AS term FROM {{p}} p JOIN {{s}} s ON s.k = p.k", p=power, s=log_psd)
+
+
+def second_differences(n: int) -> Step:
+    """(b, b2, v): the penalty of squared second differences of n weights, plus 1e-6 on the diagonal."""
+    d = np.diff(np.eye(n), 2, axis=0)
+    p = d.T @ d + 1e-6 * np.eye(n)
+    return step(" UNION ALL ".join(f"SELECT {i} AS b, {j} AS b2, CAST({p[i, j]!r} AS DOUBLE) AS v" for i in range(n) for j in range(n) if p[i, j]).replace("np.float64(", "(") )
+
+
+def log_spaced(x: Step, most: int) -> Step:
+    """(k, freq) of the first bin at or after each of `most` frequencies evenly spaced in the logarithm."""
+    edge = step("SELECT ln(min(freq)) AS a, ln(max(freq)) AS b FROM {x}", x=x)
+    goals = step(f"SELECT a + (b - a) * g.v / {most - 1}e0 AS goal FROM {{e}} CROSS JOIN $seq(0, {most - 1}) g", e=edge)
+    return step("SELECT DISTINCT k, freq FROM (SELECT goal, min(k) AS k, min(freq) AS freq FROM {g} JOIN {x} x ON ln(x.freq) >= goal - 1e-12 GROUP BY goal)", g=goals, x=x)

@@ -2,7 +2,7 @@
 
 A step is a SQL template over named inputs (`{x}`), which are steps or tables.  On Spark each step is a DataFrame made by
 spark.sql with its inputs bound as DataFrames, so Catalyst sees one plan.  `statement` gives the same graph as common
-table expressions in standard SQL.  The few spots where engines differ are macros: $us, $pct, $seq and $r.
+table expressions in standard SQL.  The few spots where engines differ are macros: $us, $pct, $seq, $span (a row for each number, in a SELECT list), $r and $x.
 """
 
 from __future__ import annotations
@@ -13,12 +13,13 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MACRO = re.compile(r"\$(us|pct|seq|r|x)\(")
+_MACRO = re.compile(r"\$(us|pct|seq|span|r|x)\(")
 
 SPARK = {
     "us": lambda a: f"unix_micros(CAST({a} AS TIMESTAMP))",
     "pct": lambda a, p: f"percentile({a}, {p})",
     "seq": lambda a, b: f"(SELECT explode(sequence(CAST({a} AS BIGINT), CAST({b} AS BIGINT))) AS v)",
+    "span": lambda a, b: f"explode(sequence(CAST({a} AS BIGINT), CAST({b} AS BIGINT)))",
     "r": lambda a: f"(round(CAST({a} AS DOUBLE), 6) + CAST(0 AS DOUBLE))",
     "x": lambda a, k: f"regexp_extract({a}, {k}, 1)",
 }
@@ -26,6 +27,7 @@ STANDARD = {
     "us": lambda a: f"epoch_us(CAST({a} AS TIMESTAMP))",
     "pct": lambda a, p: f"quantile_cont({a}, {p})",
     "seq": lambda a, b: f"(SELECT unnest(generate_series(CAST({a} AS BIGINT), CAST({b} AS BIGINT))) AS v)",
+    "span": lambda a, b: f"unnest(generate_series(CAST({a} AS BIGINT), CAST({b} AS BIGINT)))",
     "r": lambda a: f"(round(CAST({a} AS DOUBLE), 6) + CAST(0 AS DOUBLE))",
     "x": lambda a, k: f"regexp_extract({a}, {k}, 1)",
 }
@@ -49,7 +51,8 @@ def _expand(sql: str, macros: dict) -> str:
 @dataclass(frozen=True, eq=False)
 class Step:
     sql: str
-    inputs: dict[str, Step | str] = field(default_factory=dict)
+    #: Steps, names of tables, or (on Spark alone) DataFrames.
+    inputs: dict[str, Step | str | DataFrame] = field(default_factory=dict)
     #: Makes the same rows from the first input on Spark, where its SQL (a deep recursion) would plan slowly.
     kernel: Callable[[DataFrame], DataFrame] | None = None
 
@@ -59,7 +62,7 @@ class Step:
         if self not in made:
             args = {}
             for k, x in self.inputs.items():
-                args[k] = x.frame(spark, sf_dir, made) if isinstance(x, Step) else spark.read.parquet(f"{sf_dir}/{x}.parquet")
+                args[k] = x.frame(spark, sf_dir, made) if isinstance(x, Step) else x if isinstance(x, DataFrame) else spark.read.parquet(f"{sf_dir}/{x}.parquet")
             made[self] = self.kernel(next(iter(args.values()))) if self.kernel else spark.sql(_expand(self.sql, SPARK), **args)
         return made[self]
 
@@ -79,6 +82,6 @@ class Step:
         return "WITH " + ",\n".join(parts) + f"\nSELECT * FROM {last}"
 
 
-def step(sql: str, **inputs: Step | str) -> Step:
+def step(sql: str, **inputs: Step | str | DataFrame) -> Step:
     return Step(sql, inputs)
 
