@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lumenfreq.llm import lines, mixing, ngram_join, packing, quality, tokens
-from lumenfreq.llm.shared import materialise, table
+from lumenfreq.llm.shared import discard, materialise, table
 
 SEQUENCE = 2048
 
@@ -49,5 +49,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        before, docs = docs, materialise(stage(spark, docs, sf_dir), name)
+        if "lf_path" in vars(before):  # a stage's table that the next one has read
+            discard(spark, before)
     return STAGES[-1][1](spark, docs, sf_dir)

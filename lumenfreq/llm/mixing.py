@@ -8,7 +8,7 @@ level moves at most one row for each source and bucket.
 
 Cases: a null text has size 0; a null source is a source of its own, after all others; repeated rows share a hash and
 are taken or left together; an empty table, or one without words, takes nothing; result columns replace input columns
-of the same name.
+of the same name; a very long text is one row, and a source's take may miss its target by as much as one document.
 """
 
 from __future__ import annotations

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .files import create, open_input
-from .shared import discard, materialise, n_partitions, new_dir, small, text_of
+from .shared import discard, materialise, new_dir, small, tasks_for, text_of
 
 #: Counters at most, as a power of two, and at least (also the blocks of counters that are added up apart).
 MOST_BITS, LEAST_BITS, BLOCK_BITS = 26, 16, 6
@@ -234,7 +234,7 @@ def prefix_postings(docs: DataFrame, classes: DataFrame, sketch: str, n: int, pe
             last, opened = b.slice(at[-1], 1), bool(keep[-1])
 
     posts = docs.select("text").mapInArrow(emit, "gram long, cls long, size int, pos int")
-    met = posts.repartition(n_partitions(spark), "gram").sortWithinPartitions("gram", "cls").mapInArrow(groups, "gram long, cls long, size int, pos int")
+    met = posts.repartition(tasks_for(docs), "gram").sortWithinPartitions("gram", "cls").mapInArrow(groups, "gram long, cls long, size int, pos int")
     return materialise(met.join(classes.select("cls", *SIG), "cls"), "postings")
 
 
@@ -314,7 +314,7 @@ def candidates(postings: DataFrame, labels: DataFrame, percent: int) -> DataFram
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     met = met.select(F.xxhash64("gram", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("cell"), "chunk", (F.col("chunk") != F.col("other")).alias("mixed"), *cols)
     # A cell of one chunk has rows of that chunk alone; a cell of two has rows of both, all marked.
-    met = met.withColumnRenamed("mixed", "across").repartition(n_partitions(spark), "cell").sortWithinPartitions("cell").mapInArrow(pair, "a long, b long")
+    met = met.withColumnRenamed("mixed", "across").repartition(tasks_for(postings), "cell").sortWithinPartitions("cell").mapInArrow(pair, "a long, b long")
     return materialise(met.distinct(), "pairs")
 
 
@@ -366,7 +366,7 @@ def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, percen
     rows = docs.join(near, docs["key"].eqNullSafe(near["first_key"]) & docs["doc_id"].eqNullSafe(near["first"])).select("a", "salt", "b", "text")
     if asked.filter("times > 1").limit(1).count():  # rows that are repeated whole
         rows = rows.dropDuplicates(["a", "salt", "b"])
-    rows = rows.repartition(n_partitions(spark), "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+    rows = rows.repartition(tasks_for(docs), "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
     links = materialise(rows.mapInArrow(test, "a long, b long"), "links")
     discard(spark, asked)
     return links

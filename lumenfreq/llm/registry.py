@@ -39,7 +39,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     x = lm_score.score(docs, language.remainder(docs["doc_id"], 7) != 2)
-    return x.withColumn("held_out", language.remainder(F.col("doc_id"), 7) == 2)
+    return x.withColumn("held_out", F.coalesce(language.remainder(F.col("doc_id"), 7) == 2, F.lit(False)))
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +54,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = language.remainder(F.col("doc_id"), 4) == 2
     names, model = language.train(docs.filter(~held_out))
-    return language.identify(docs, names, model).withColumn("held_out", held_out)
+    return language.identify(docs, names, model).withColumn("held_out", F.coalesce(held_out, F.lit(False)))
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

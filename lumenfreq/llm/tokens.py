@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .files import create, open_input
 from .frames import ShardReader, ShardWriter
-from .shared import materialise, n_partitions, new_dir, text_of
+from .shared import materialise, n_partitions, new_dir, tasks_for, text_of
 from .vocab import encoder
 
 MANIFEST = "shard int, path string, docs long, tokens long"
@@ -37,7 +37,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, path: str | None
     spark = docs.sparkSession
     at = path or new_dir(spark, "tokens")
     dealt = docs.select(docs[id_col].cast("long").alias("doc_id"), text_of(docs, text).alias("text"))
-    dealt = dealt.repartitionByRange(shards or n_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    dealt = dealt.repartitionByRange(shards or tasks_for(docs), "doc_id").sortWithinPartitions("doc_id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, shard = encoder(tokenizer), TaskContext.get().partitionId()

@@ -393,6 +393,20 @@ def test_pipeline_of_nothing(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+def test_scores_and_languages_of_odd_tables(spark, tmp_path):
+    rows = [(i, f"the words of text number {i} and the rest of it " * (1 + i % 3), "en", 1.0, "z") for i in range(40)] + [(None, "the words", "en", 1.0, "z"), (50, None, None, None, None), (51, "", "de", 1.0, "z"), (52, "der die das " * 20_000, "de", 1.0, "z")]
+    kind = "doc_id long, text string, lang string, score double, lang_pred string"
+    for name, data in (("some", rows), ("none", [])):
+        spark.createDataFrame(data, kind).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+    scores = {r.doc_id: r for r in registry.op5(spark, f"{tmp_path}/some").collect()}
+    assert len(scores) == len(rows) and scores[50].n_tokens == scores[51].n_tokens == 1 and scores[52].n_tokens == 60_001
+    assert scores[None].held_out is False and all(np.isfinite(r.score) and r.score < 0 for r in scores.values())
+    found = {r.doc_id: r for r in registry.op8(spark, f"{tmp_path}/some").collect()}
+    assert len(found) == len(rows) and found[50].lang_pred == found[51].lang_pred == "und" and found[None].held_out is False
+    assert found[52].held_out or found[52].lang_pred == "de"
+    assert registry.op5(spark, f"{tmp_path}/none").count() == 0 and registry.op8(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_no_operator_keeps_local_checkpoints():
     for f in [*Path(ngram_join.__file__).parent.glob("*.py"), Path(corpus_pipeline.__file__)]:
         assert "localCheckpoint" not in f.read_text()
