@@ -5,7 +5,8 @@
    with arrays beside it: a 32-bit fingerprint, the number of documents, the largest id.
 2. Documents probe the arrays: their line hashes (no text) are dealt to tasks by (shard, salt), a task opens the shards
    it has rows of, one at a time, and only lines to drop come back.
-3. Those are gathered by document and the text is rewritten.
+3. Those are gathered by document and the text is rewritten: where the document is, if the lists are few enough to go to
+   all tasks (counted first), and beyond that by a join.
 
 Lines are never joined with lines.  A line that a third of all documents hold is one row a batch in step 1; in step 2 a
 shard has salts in line with its rows, and rows take them by their place, so copies of a document part too.
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .files import create, open_input
 from .perfect import PerfectHash, load, save
-from .shared import LOWER, NULL_ID, WS, discard, materialise, new_dir, tasks_for, text_of
+from .shared import FEW, LOWER, NULL_ID, WS, discard, materialise, new_dir, tasks_for, text_of
 
 #: Groups of rows for each shard in the probe, on average; a shard with more rows has more.
 SALTS = 4
@@ -181,6 +182,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lea
     keep = [c for c in docs.columns if not figures or c.lower() not in ("n_lines", "n_dropped")]
     full = docs.select(*[F.col(c) for c in keep], F.coalesce(docs[id_col].cast("long"), F.lit(NULL_ID)).alias("__lf_id"), F.xxhash64(text_of(docs, text)).bitwiseAND(F.lit((1 << 63) - 1)).alias("__lf_row"))
     hit = hits.select(F.col("doc_id").alias("__lf_id"), F.col("row").alias("__lf_row"), F.col("drop").alias("__lf_drop"))
+    rows, ordinals = hits.agg(F.count("*"), F.coalesce(F.sum(F.size("drop")), F.lit(0))).first()
+    if rows <= FEW and ordinals <= 4 * FEW:  # small enough for every task: the texts stay where they are
+        hit = F.broadcast(hit)
     x = full.join(hit, ["__lf_id", "__lf_row"], "left").select(*keep, "__lf_drop")
     place = keep.index(text)
 

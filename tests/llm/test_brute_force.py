@@ -251,7 +251,9 @@ def shared_lines(rng, n):
     return [*rows, (None, pool[0]), (3, pool[0]), (n + 1, None), (n + 2, ""), (n + 3, "\n\n"), *[(n + 4, pool[1])] * 40]
 
 
-def test_line_dedup_equals_plain_python(spark):
+@pytest.mark.parametrize("few", [0, 500_000])
+def test_line_dedup_equals_plain_python(spark, monkeypatch, few):
+    monkeypatch.setattr(lines, "FEW", few)  # lists of lines to drop joined, or sent to all tasks
     rows = shared_lines(np.random.default_rng(9), 150)
     got = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_lines", "n_dropped", F.coalesce("text", F.lit(""))).collect()
     assert collections.Counter(map(tuple, got)) == collections.Counter(plain_line_dedup(rows))
