@@ -29,12 +29,14 @@ from pyspark.sql import functions as F
 
 from .files import create, open_input
 from .perfect import PerfectHash, load, save
-from .shared import FEW, LOWER, NULL_ID, WS, discard, materialise, new_dir, tasks_for, text_of
+from .shared import FEW, LOWER, NULL_ID, WS, discard, materialise, new_dir, releasing, tasks_for, text_of
 
 #: Groups of rows for each shard in the probe, on average; a shard with more rows has more.
 SALTS = 4
 #: Rows of sums held before they are merged.
 HELD = 500_000
+#: Rows whose texts are rewritten at once.
+SLICE = 1024
 _UPPER = re.compile("[A-Z]")
 _SUMS = "shard int, a long, b long, n long, top long"
 _PROBE = "shard int, salt int, a long, b long, doc_id long, row long, k int"
@@ -120,7 +122,7 @@ def index_lines(docs: DataFrame, least: int = 40, shards: int | None = None) ->
                 out.write(save(mph, mark=(b[order] & np.uint64(0xFFFFFFFF)).astype("u4"), count=np.minimum(n[order], 0xFFFFFFFF).astype("u4"), top=top[order]))
             yield pa.RecordBatch.from_pydict({"shard": pa.array([s], pa.int32()), "keys": pa.array([len(h)], pa.int64()), "rows": pa.array([int(n.sum())], pa.int64())})
 
-    docs.mapInArrow(sums, _SUMS).repartition(count, "shard").mapInArrow(build, "shard int, keys long, rows long").write.parquet(f"{at}/manifest")
+    docs.mapInArrow(releasing(sums), _SUMS).repartition(count, "shard").mapInArrow(releasing(build), "shard int, keys long, rows long").write.parquet(f"{at}/manifest")
     rows = {r["shard"]: r["rows"] for r in spark.read.schema("shard int, keys long, rows long").parquet(f"{at}/manifest").collect()}  # one for each shard
     mean = max(1.0, sum(rows.values()) / count)
     return at, [max(1, -(-SALTS * rows.get(s, 0) // int(mean))) for s in range(count)]
@@ -154,7 +156,7 @@ def probe_lines(docs: DataFrame, index: tuple[str, list[int]], least: int = 40,
                 out = here[known & (x["count"][i] >= min_docs) & (x["top"][i] != num["doc_id"][here])]
                 yield pa.RecordBatch.from_pydict({c: num[c][out] for c in ("doc_id", "row", "k")})
 
-    hit = docs.mapInArrow(hashes, _PROBE).repartition(count, "shard", "salt").sortWithinPartitions("shard").mapInArrow(probe, "doc_id long, row long, k int")
+    hit = docs.mapInArrow(releasing(hashes), _PROBE).repartition(count, "shard", "salt").sortWithinPartitions("shard").mapInArrow(releasing(probe), "doc_id long, row long, k int")
     return hit.groupBy("doc_id", "row").agg(F.collect_set("k").alias("drop"))
 
 
@@ -189,7 +191,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lea
     place = keep.index(text)
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(at, SLICE) for whole in batches for at in range(0, whole.num_rows, SLICE)):
             new, before, gone = [], [], []
             for t, drop in zip(b.column(place).to_pylist(), b.column("__lf_drop").to_pylist(), strict=True):
                 kept, n = (t, 0) if not drop else _without(t, set(drop), least)
@@ -205,4 +207,4 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lea
     if figures:
         schema = schema.add("n_lines", "long").add("n_dropped", "long")
     names = schema.names
-    return x.mapInArrow(rewrite, schema)
+    return x.mapInArrow(releasing(rewrite), schema)

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .files import create, open_input
-from .shared import discard, materialise, new_dir, small, tasks_for, text_of
+from .shared import discard, materialise, new_dir, releasing, small, small_batches, tasks_for, text_of
 
 #: Counters at most, as a power of two, and at least (also the blocks of counters that are added up apart).
 MOST_BITS, LEAST_BITS, BLOCK_BITS = 26, 16, 6
@@ -130,7 +130,7 @@ def document_sets(docs: DataFrame, n: int) -> tuple[DataFrame, str]:
     inner = MOST_BITS - BLOCK_BITS
 
     def counters(held: list[np.ndarray]) -> pa.RecordBatch:
-        c = (np.concatenate(held) >> np.uint64(64 - MOST_BITS)).astype(np.uint32)
+        c = np.concatenate(held)
         c.sort()
         cuts = np.searchsorted(c, np.arange(1, 1 << BLOCK_BITS, dtype=np.uint32) << np.uint32(inner))
         parts = [_gaps(x & np.uint32((1 << inner) - 1)) for x in np.split(c, cuts)]
@@ -147,7 +147,7 @@ def document_sets(docs: DataFrame, n: int) -> tuple[DataFrame, str]:
                 count.append(len(s))
                 sig.append(_parities(s))
                 if len(s):
-                    held.append(s)
+                    held.append((s >> np.uint64(64 - MOST_BITS)).astype(np.uint32))
                     size += len(s)
                 if size >= HELD:
                     yield counters(held)
@@ -158,7 +158,7 @@ def document_sets(docs: DataFrame, n: int) -> tuple[DataFrame, str]:
             yield counters(held)
 
     kind = "doc_id long, key long, n_shingles long, cls long, s0 long, s1 long, s2 long, s3 long, block int, counters binary"
-    seen = materialise(docs.mapInArrow(scan, kind), "sets")
+    seen = materialise(docs.mapInArrow(releasing(scan), kind), "sets")
     total = seen.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     shift = MOST_BITS - min(MOST_BITS, max(LEAST_BITS, int(total).bit_length()))
     at = new_dir(spark, "sketch")
@@ -176,7 +176,7 @@ def document_sets(docs: DataFrame, n: int) -> tuple[DataFrame, str]:
         yield pa.RecordBatch.from_pydict({"block": pa.array(list(sums), pa.int32())})
 
     blocks = spark.range(1 << BLOCK_BITS).select(F.col("id").cast("int").alias("block"), F.lit(None).cast("binary").alias("counters"))
-    seen.filter("block is not null").select("block", "counters").unionByName(blocks).repartition(1 << BLOCK_BITS, "block").mapInArrow(add, "block int").count()
+    seen.filter("block is not null").select("block", "counters").unionByName(blocks).repartition(1 << BLOCK_BITS, "block").mapInArrow(releasing(add), "block int").count()
     return seen.filter("block is null").select("doc_id", "key", "n_shingles", "cls", *SIG), at
 
 
@@ -233,8 +233,8 @@ def prefix_postings(docs: DataFrame, classes: DataFrame, sketch: str, n: int, pe
             yield b.take(pa.array(at[keep]))
             last, opened = b.slice(at[-1], 1), bool(keep[-1])
 
-    posts = docs.select("text").mapInArrow(emit, "gram long, cls long, size int, pos int")
-    met = posts.repartition(tasks_for(docs), "gram").sortWithinPartitions("gram", "cls").mapInArrow(groups, "gram long, cls long, size int, pos int")
+    posts = docs.select("text").mapInArrow(releasing(emit), "gram long, cls long, size int, pos int")
+    met = posts.repartition(tasks_for(docs), "gram").sortWithinPartitions("gram", "cls").mapInArrow(releasing(groups), "gram long, cls long, size int, pos int")
     return materialise(met.join(classes.select("cls", *SIG), "cls"), "postings")
 
 
@@ -314,7 +314,7 @@ def candidates(postings: DataFrame, labels: DataFrame, percent: int) -> DataFram
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     met = met.select(F.xxhash64("gram", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("cell"), "chunk", (F.col("chunk") != F.col("other")).alias("mixed"), *cols)
     # A cell of one chunk has rows of that chunk alone; a cell of two has rows of both, all marked.
-    met = met.withColumnRenamed("mixed", "across").repartition(tasks_for(postings), "cell").sortWithinPartitions("cell").mapInArrow(pair, "a long, b long")
+    met = met.withColumnRenamed("mixed", "across").repartition(tasks_for(postings), "cell").sortWithinPartitions("cell").mapInArrow(releasing(pair), "a long, b long")
     return materialise(met.distinct(), "pairs")
 
 
@@ -367,7 +367,7 @@ def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, percen
     if asked.filter("times > 1").limit(1).count():  # rows that are repeated whole
         rows = rows.dropDuplicates(["a", "salt", "b"])
     rows = rows.repartition(tasks_for(docs), "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    links = materialise(rows.mapInArrow(test, "a long, b long"), "links")
+    links = materialise(rows.mapInArrow(releasing(test), "a long, b long"), "links")
     discard(spark, asked)
     return links
 
@@ -382,20 +382,21 @@ def _linked(docs: DataFrame, n: int, percent: int, id_col: str, text: str) -> tu
     times, how often that row occurs) and the least class that links reach."""
     spark = docs.sparkSession
     own = docs.select(docs[id_col].cast("long").alias("doc_id"), text_of(docs, text).alias("text")).withColumn("key", _key(F.col("text")))
-    sets, sketch = document_sets(own, n)
-    rows = sets.filter("cls is not null").groupBy("cls", "doc_id", "key").agg(F.count("*").alias("times"), *(F.min(c).alias(c) for c in SIG))
-    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key", "times")
-    classes = materialise(rows.groupBy("cls").agg(F.min(row).alias("row"), *(F.min(c).alias(c) for c in SIG)), "classes")
-    postings = prefix_postings(own, classes, sketch, n, percent)
-    discard(spark, sketch)
-    pivots = pivot_candidates(postings, percent)
-    links = verify(pivots, own, classes, n, percent)
-    labels = components(links)
-    rest = candidates(postings, labels, percent)
-    more = verify(rest, own, classes, n, percent)
-    star = labels.filter("node != label").select(F.col("node").alias("a"), F.col("label").alias("b"))
-    labels = components(more.unionByName(star))
-    discard(spark, postings, pivots, links, rest, more)
+    with small_batches(spark):
+        sets, sketch = document_sets(own, n)
+        rows = sets.filter("cls is not null").groupBy("cls", "doc_id", "key").agg(F.count("*").alias("times"), *(F.min(c).alias(c) for c in SIG))
+        row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key", "times")
+        classes = materialise(rows.groupBy("cls").agg(F.min(row).alias("row"), *(F.min(c).alias(c) for c in SIG)), "classes")
+        postings = prefix_postings(own, classes, sketch, n, percent)
+        discard(spark, sketch)
+        pivots = pivot_candidates(postings, percent)
+        links = verify(pivots, own, classes, n, percent)
+        labels = components(links)
+        rest = candidates(postings, labels, percent)
+        more = verify(rest, own, classes, n, percent)
+        star = labels.filter("node != label").select(F.col("node").alias("a"), F.col("label").alias("b"))
+        labels = components(more.unionByName(star))
+        discard(spark, postings, pivots, links, rest, more)
     named = classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left")
     return sets, named.select("cls", "row", F.coalesce("label", "cls").alias("label"))
 

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +58,42 @@ def discard(spark: SparkSession, *written: DataFrame | str) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+#: Bytes of a batch that goes to a Python worker at most, inside small_batches().
+BATCH_BYTES = 4 << 20
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """What is written inside hands rows to Python in batches of BATCH_BYTES: JVM and worker hold several copies of a batch each."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def release() -> None:
+    """Gives freed memory back to the system: allocators keep it otherwise, and a worker lives on after its task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def releasing(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow that calls release() when its task ends."""
+
+    @functools.wraps(task)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from task(batches)
+        finally:
+            release()
+
+    return run
+
+
 #: Rows of a few numbers that are sent to all tasks at most; tables beyond that are joined by shuffles.
 FEW = 500_000
 

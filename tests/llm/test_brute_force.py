@@ -8,13 +8,14 @@ from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from lumenfreq.llm import ann, frames, gru, language, lines, mixing, ngram_join, packing, quality, registry, tokens
+from lumenfreq.llm import ann, frames, gru, language, lines, mixing, ngram_join, packing, quality, registry, shared, tokens
 
 WS = " \t\n\x0b\x0c\r"
 SF = "/root/testdata/sf0.01"
@@ -259,6 +260,33 @@ def test_line_dedup_equals_plain_python(spark, monkeypatch, few):
     assert collections.Counter(map(tuple, got)) == collections.Counter(plain_line_dedup(rows))
 
 
+def test_line_dedup_in_slices(spark, monkeypatch):
+    rows = shared_lines(np.random.default_rng(10), 60)
+    table = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    monkeypatch.setattr(lines, "SLICE", 7)
+    got = lines.dedup_lines(table).select("doc_id", "n_lines", "n_dropped", F.coalesce("text", F.lit(""))).collect()
+    assert collections.Counter(map(tuple, got)) == collections.Counter(plain_line_dedup(rows))
+
+
+def test_joins_hand_small_batches_to_python(spark, monkeypatch):
+    conf, seen, sets = "spark.sql.execution.arrow.maxBytesPerBatch", [], ngram_join.document_sets
+    before = spark.conf.get(conf)
+
+    def size(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([b.nbytes])})
+
+    def spied(docs, n):
+        wide = spark.range(20_000).select(F.expr("repeat('x', 1000)").alias("t")).coalesce(1)
+        seen.extend(r.n for r in wide.mapInArrow(shared.releasing(size), "n long").collect())
+        return sets(docs, n)
+
+    monkeypatch.setattr(ngram_join, "document_sets", spied)
+    ngram_join.similar_components(spark.createDataFrame([(1, "a b c"), (2, "a b c")], "doc_id long, text string")).collect()
+    assert sum(seen) >= 20_000_000 and max(seen) <= shared.BATCH_BYTES + 100_000
+    assert spark.conf.get(conf) == before
+
+
 def test_counters_round_trip():
     rng = np.random.default_rng(1)
     for n, top in ((0, 10), (1, 1 << 20), (500, 1 << 20), (50_000, 1 << 10)):
