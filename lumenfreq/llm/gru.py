@@ -1,8 +1,10 @@
 """A gated recurrent language model in numpy, with a class-factored output softmax.
 
-P(word | h) = P(class | h) P(word | class, h).  Words of a bounded vocabulary have ids by falling frequency; the last id
-stands for all other words and is a class of its own.  The input of a word is a row of gate inputs, so a step is one
-gather and one small product.  Training is backpropagation truncated to windows; the state is carried across windows
+P(word | h) = P(class | h) P(word | class, h).  The most frequent words have ids by falling frequency; the last id
+stands for all other words and is a class of its own.  These other words are the leaves of a tree:
+P(word | class, h) = P(branch | h) P(next node | branch, h) ... P(leaf | twig, h), so the state has a say in every word.
+Their ids follow on the vocabulary's (see Tree).  The input of a word is a row of gate inputs (other words: of their branch), so a
+step is one gather and one small product.  Training is backpropagation truncated to windows; the state is carried across windows
 and reset where a document begins, in training as in scoring, so a document's log-likelihood covers it whole.
 """
 
@@ -17,15 +19,49 @@ import numpy as np
 WINDOW = 16
 
 
+#: The logarithm of a weight that is none.
+NEVER = -60.0
+
+
+class Tree:
+    """Branches, below each `levels` levels of `fan` nodes; nodes of the last but one are twigs, with `fan` + 1 leaves each.
+
+    weights: those of the leaves (twigs x leaves).  Leaf k of twig t has the id words + t * (fan + 1) + k.
+    rows: for each twig the logarithms of the weights of all nodes that a way down to its leaves chooses from, level by
+    level; the state adds to them.  ways: the columns of the nodes that lead to the twig.
+    """
+
+    def __init__(self, branches: int, fan: int, levels: int, weights: np.ndarray):
+        self.branches, self.fan, self.levels = branches, fan, levels
+        self.below = fan ** (levels - 1)  # twigs of a branch
+        twig = np.arange(branches * self.below)
+        nodes, sums = [weights], weights.sum(axis=1)
+        for _ in range(levels - 1):
+            nodes.append(sums.reshape(-1, fan))
+            sums = nodes[-1].sum(axis=1)
+        nodes.append(sums[None, :])
+        nodes.reverse()  # of the root, of each branch, and so on down to each twig
+        with np.errstate(divide="ignore"):
+            self.rows = np.concatenate([np.maximum(np.log(x), NEVER).astype(np.float32).repeat(len(twig) // len(x), axis=0) for x in nodes], axis=1)
+        own = [twig // self.below, *(twig // fan**k % fan + branches + (levels - 2 - k) * fan for k in range(levels - 2, -1, -1))]
+        self.ways = np.stack(own, axis=1)
+        self.first_leaf = branches + (levels - 1) * fan
+        level = np.minimum(np.maximum(np.arange(self.rows.shape[1]) - branches, -1) // fan + 1, levels)
+        self.level = (level[:, None] == np.arange(levels + 1)).astype(np.float32)  # columns x levels
+
+
 @dataclass
 class Shape:
     words: int  # with the id of other words, which is words - 1
     hidden: int
     edges: np.ndarray  # class c holds the ids edges[c] to edges[c + 1] - 1
+    tree: Tree | None = None
 
     def parts(self) -> dict[str, tuple[int, ...]]:
-        h, c = self.hidden, len(self.edges) - 1
-        return {"x": (self.words, 3 * h), "wh": (h, 3 * h), "wc": (h, c), "bc": (c,), "u": (self.words, h), "b": (self.words,)}
+        h, c, k = self.hidden, len(self.edges) - 1, self.tree.branches if self.tree else 0
+        own = {"x": (self.words + k, 3 * h), "wh": (h, 3 * h), "wc": (h, c), "bc": (c,), "u": (self.words, h), "b": (self.words,)}
+        # What the state, and a constant, give the branches, and those of each branch the nodes below it, level by level.
+        return own | {"ub": (h + 1, k), "ut": (k, h + 1, self.tree.rows.shape[1] - k)} if k else own
 
 
 def classes_of(counts: np.ndarray, classes: int) -> np.ndarray:
@@ -43,6 +79,8 @@ def start(shape: Shape, counts: np.ndarray, seed: int = 11) -> np.ndarray:
     p["b"] = log.astype(np.float32)
     p["bc"] = np.log(np.maximum(np.add.reduceat(np.maximum(counts, 0.5), shape.edges[:-1]), 0.5)).astype(np.float32)
     p["bc"] -= p["bc"].max()
+    if shape.tree:
+        p["ub"][-1] = p["ut"][:, -1] = 0
     return flat(p)
 
 
@@ -135,6 +173,8 @@ def _windows(shape: Shape, p: dict[str, np.ndarray], target: np.ndarray, of: np.
         if t0:
             new[0] = doc[0] != of[t0 - 1, :live]
             word[0] = np.where(new[0], end, target[t0 - 1, :live])
+        if shape.tree:
+            word = np.where(word < shape.words, word, shape.words + (word - shape.words) // ((shape.tree.fan + 1) * shape.tree.below))
         stay = (~new).astype(np.float32)[:, :, None]
         gx = p["x"].take(word, axis=0)
         before, z, r, c, gate, out = (np.empty((*tgt.shape, hid), np.float32) for _ in range(6))
@@ -149,13 +189,39 @@ def _windows(shape: Shape, p: dict[str, np.ndarray], target: np.ndarray, of: np.
         yield Window(word, stay, before, z, r, c, gate, out, tgt, doc)
 
 
+def _order(x: np.ndarray) -> np.ndarray:
+    """A stable order of small numbers, which numpy sorts by their digits if they have two bytes."""
+    return np.argsort(x.astype(np.uint16) if len(x) and x.max() < 1 << 16 else x, kind="stable")
+
+
 def _by_class(shape: Shape, tgt: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
-    cls = np.searchsorted(shape.edges, tgt, side="right") - 1
-    order = np.argsort(cls, kind="stable")
-    cuts = np.searchsorted(cls[order], np.arange(len(shape.edges)))
+    cls = np.arange(len(shape.edges) - 1).repeat(np.diff(shape.edges)).take(tgt, mode="clip")  # all leaves are in the last class
+    order = _order(cls)
+    cuts = np.searchsorted(cls.take(order), np.arange(len(shape.edges)))
     return cls, [(c, order[a:b]) for c, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
 
 
+def _leaves(shape: Shape, p: dict[str, np.ndarray], h: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, ...] | None:
+    """Of the targets that are leaves, sorted: their rows; states with a constant; where those of each branch begin and end;
+    logits of all nodes to choose from; and the columns of those chosen."""
+    rows = np.flatnonzero(t >= shape.words)
+    if not len(rows):
+        return None
+    tree = shape.tree
+    rows = rows[np.argsort(t[rows])]
+    twig, leaf = np.divmod(t[rows] - shape.words, tree.fan + 1)
+    at = np.searchsorted(twig, np.arange(tree.branches + 1) * tree.below).tolist()
+    cuts = [(c, x, y) for c, (x, y) in enumerate(zip(at, at[1:], strict=False)) if y > x]
+    own = np.ones((len(rows), shape.hidden + 1), np.float32)
+    own[:, :-1] = h.take(rows, axis=0)
+    a = tree.rows.take(twig, axis=0)
+    a[:, : tree.branches] += own @ p["ub"]
+    for c, x, y in cuts:
+        a[x:y, tree.branches :] += own[x:y] @ p["ut"][c]
+    np.clip(a, -80, 80, out=a)
+    return rows, own, cuts, a, np.concatenate([tree.ways.take(twig, axis=0), (tree.first_leaf + leaf)[:, None]], axis=1)
+
+
 def score(shape: Shape, v: np.ndarray, docs: list[np.ndarray], end: int, most: int = 512) -> np.ndarray:
     """Natural log-likelihood of each document (arrays of ids, each ending with the end token)."""
     out = np.zeros(len(docs))
@@ -172,16 +238,20 @@ def score(shape: Shape, v: np.ndarray, docs: list[np.ndarray], end: int, most: i
         for c, rows in groups:
             lo, hi = shape.edges[c], shape.edges[c + 1]
             if hi - lo > 1:
-                lp[rows] += _log_prob(h[rows] @ p["u"][lo:hi].T, p["b"][lo:hi], t[rows] - lo)
+                lp[rows] += _log_prob(h.take(rows, axis=0) @ p["u"][lo:hi].T, p["b"][lo:hi], t[rows] - lo)
+        if shape.tree and (x := _leaves(shape, p, h, t)):
+            rows, _, _, a, way = x
+            lp[rows] += np.take_along_axis(a, way, axis=1).sum(axis=1)
+            lp[rows] -= np.log(np.exp(a, out=a) @ shape.tree.level).sum(axis=1)
         out += np.bincount(d, weights=lp, minlength=len(docs))
     return out
 
 
 def _add_rows(g: np.ndarray, at: np.ndarray, x: np.ndarray) -> None:
-    o = np.argsort(at, kind="stable")
-    rows = at[o]
+    o = _order(at)
+    rows = at.take(o)
     first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-    g[rows[first]] += np.add.reduceat(x[o], first, axis=0)
+    g[rows[first]] += np.add.reduceat(x.take(o, axis=0), first, axis=0)
 
 
 def gradients(shape: Shape, p: dict[str, np.ndarray], w: Window, g: dict[str, np.ndarray]) -> int:
@@ -201,12 +271,24 @@ def gradients(shape: Shape, p: dict[str, np.ndarray], w: Window, g: dict[str, np
     for c, rows in groups:
         lo, hi = shape.edges[c], shape.edges[c + 1]
         if hi - lo > 1:
-            own = h[rows]
+            own = h.take(rows, axis=0)
             a = _softmax(own @ p["u"][lo:hi].T, p["b"][lo:hi])
             a[np.arange(len(rows)), t[rows] - lo] -= 1
             g["u"][lo:hi] = a.T @ own
             g["b"][lo:hi] = a.sum(axis=0)
             dr[rows] += a @ p["u"][lo:hi]
+    if shape.tree and (x := _leaves(shape, p, h, t)):
+        rows, own, cuts, a, way = x
+        np.exp(a, out=a)
+        a *= np.reciprocal(a @ shape.tree.level) @ shape.tree.level.T
+        a[np.arange(len(rows))[:, None], way] -= 1
+        top, a = a[:, : shape.tree.branches], a[:, shape.tree.branches :]
+        g["ub"] += own.T @ top
+        d = top @ p["ub"][:-1].T
+        for c, lo, hi in cuts:
+            g["ut"][c] = own[lo:hi].T @ a[lo:hi]
+            d[lo:hi] += a[lo:hi] @ p["ut"][c, :-1].T
+        dr[rows] += d
     dh = np.zeros((len(real), hid), np.float32)
     dh[real] = dr
     dh = dh.reshape(w.h.shape)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from lumenfreq.llm import ann, frames, gru, language, lines, mixing, ngram_join, packing, quality, registry, shared, tokens
+from lumenfreq.llm import ann, frames, gru, language, lines, lm_score, mixing, ngram_join, packing, quality, registry, shared, tokens
 
 WS = " \t\n\x0b\x0c\r"
 SF = "/root/testdata/sf0.01"
@@ -152,6 +152,82 @@ def plain_targets(sizes):
         left = sum(sizes.values()) - sum(out.values())
 
 
+def plain_tree_log_likelihood(shape, weights, v, doc, end):
+    """As plain_log_likelihood(); words from id 7 on are leaves of 3 branches of 2 x 2 twigs of 3 leaves."""
+    p = {k: x.astype(float) for k, x in gru.unflat(shape, v).items()}
+    h, out, word, sig, n = np.zeros(shape.hidden), 0.0, end, lambda a: 1 / (1 + np.exp(-a)), shape.hidden
+    pick = lambda a, at: a[at] - np.log(np.exp(a).sum())
+    for t in doc:
+        gx, gh = p["x"][word if word < 7 else 7 + (word - 7) // 12], h @ p["wh"]
+        z, r = sig(gx[:n] + gh[:n]), sig(gx[n : 2 * n] + gh[n : 2 * n])
+        h = (1 - z) * np.tanh(gx[2 * n :] + r * gh[2 * n :]) + z * h
+        c = int(np.searchsorted(shape.edges, min(t, 6), side="right")) - 1
+        out += pick(h @ p["wc"] + p["bc"], c)
+        lo, hi = shape.edges[c], shape.edges[c + 1]
+        out += pick(p["u"][lo:hi] @ h + p["b"][lo:hi], min(t, 6) - lo)
+        if t >= 7:
+            w, one = weights.reshape(3, 2, 2, 3), np.append(h, 1)
+            b, i, j, k = np.unravel_index(t - 7, w.shape)
+            below = one @ p["ut"][b]
+            out += pick(np.log(w.sum(axis=(1, 2, 3))) + one @ p["ub"], b)
+            out += pick(np.log(w[b].sum(axis=(1, 2))) + below[:2], i) + pick(np.log(w[b, i].sum(axis=1)) + below[2:4], j)
+            out += pick(np.log(w[b, i, j]) + below[4:], k)
+        word = t
+    return out
+
+
+def test_model_with_leaves_equals_plain_loops():
+    rng = np.random.default_rng(14)
+    weights = rng.random((12, 3)) + 0.1
+    shape = gru.Shape(7, 3, np.array([0, 2, 6, 7]), gru.Tree(3, 2, 3, weights))
+    v = gru.flat({k: (rng.standard_normal(s) * 0.5).astype(np.float32) for k, s in shape.parts().items()})
+    ids = np.array([*range(6), *range(7, 43)])
+    docs = [np.append(rng.choice(ids, n), 1).astype(np.int32) for n in (0, 1, 5, 40, 16, 15)]
+    want = [plain_tree_log_likelihood(shape, weights, v, d, 1) for d in docs]
+    for most in (1, 3):
+        assert np.allclose(gru.score(shape, v, docs, 1, most), want, atol=1e-3)
+    after = gru.score(shape, v, [np.array([8, t], np.int32) for t in ids], 1) - gru.score(shape, v, [np.array([8], np.int32)], 1)
+    assert abs(np.exp(after).sum() - 1) < 1e-5  # one distribution over all words
+    docs = [d for d in docs if len(d) <= 16][:3]
+    flat_g, total = np.zeros_like(v), np.zeros_like(v)
+    for w in gru._windows(shape, p := gru.unflat(shape, v), *gru.lanes(docs, 3), 1):
+        gru.gradients(shape, p, w, gru.unflat(shape, flat_g))
+        total += flat_g
+    for k in range(len(v)):
+        e = np.zeros(len(v))
+        e[k] = 1e-4
+        up, down = (-sum(plain_tree_log_likelihood(shape, weights, v.astype(float) + s * e, d, 1) for d in docs) for s in (1, -1))
+        assert abs((up - down) / 2e-4 - total[k]) < 5e-3
+
+
+def test_the_model_tells_rare_words_apart(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "MODEL", 6)
+    monkeypatch.setattr(lm_score, "KNOWN", 30)
+    rng, found, train = np.random.default_rng(15), [], lm_score.train_model
+    monkeypatch.setattr(lm_score, "train_model", lambda training, vocab, slice_of: found.append((vocab, train(training, vocab, slice_of))) or found[-1][1])
+    rows = []
+    for i in range(400):  # after red come words that begin with a, after blue those that begin with z
+        rows.append((i, " ".join(f"red a{x}" if y else f"blue z{x}" for x, y in zip(rng.integers(0, 10, 60), rng.integers(0, 2, 60), strict=True)) + (f" only{i}" if i % 9 == 0 else "")))
+    got = {r.doc_id: r for r in lm_score.score(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") >= 40).collect()}
+    ((vocab, weights),) = found
+    ids = lambda *ws: vocab.encode(vocab.find(list(ws)), list(ws))[:-1]
+    score = lambda *ws: gru.score(vocab.shape, weights, [ids(*ws)], vocab.end)[0]
+    in_red, in_blue = score(b"red", b"a7") - score(b"red", b"z7"), score(b"blue", b"a7") - score(b"blue", b"z7")
+    assert in_red > 1 > -1 > in_blue
+    count = collections.Counter(w for i, t in rows if i >= 40 for w in t.split())
+    places = {i: vocab.find(t.encode().split()) for i, t in rows}
+    far = {w for w in count if w.encode() not in vocab.places}
+    assert far and len(vocab.ids) == 5
+    twigs = collections.Counter()
+    for w in far:
+        twigs[vocab.far(w.encode())] += count[w] + 1
+    for i, t in rows[:80]:
+        ws = t.encode().split()
+        want = gru.score(vocab.shape, weights, [vocab.encode(places[i], ws)], vocab.end)[0] / np.log(10)
+        want += sum(np.log10((count[w.decode()] + 1) / (twigs[vocab.far(w)] + 1)) for w in ws if w not in vocab.places)
+        assert abs(want - got[i].score) < 1e-3
+
+
 def test_mix_against_its_targets(spark):
     rng = np.random.default_rng(6)
     rows = [(i, "w " * int(rng.integers(0, 40)), ["hot", "b", None, "tiny"][int(rng.choice(4, p=[0.6, 0.25, 0.14, 0.01]))]) for i in range(3000)]
