@@ -10,6 +10,7 @@ and reset where a document begins, in training as in scoring, so a document's lo
 
 from __future__ import annotations
 
+import functools
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,27 +28,27 @@ class Tree:
     """Branches, below each `levels` levels of `fan` nodes; nodes of the last but one are twigs, with `fan` + 1 leaves each.
 
     weights: those of the leaves (twigs x leaves).  Leaf k of twig t has the id words + t * (fan + 1) + k.
-    rows: for each twig the logarithms of the weights of all nodes that a way down to its leaves chooses from, level by
-    level; the state adds to them.  ways: the columns of the nodes that lead to the twig.
+    top: the logarithms of the branches' weights.  rows: for each twig those of all nodes below the branch that a way down to
+    its leaves chooses from, level by level; the state adds to them.  ways: the columns of the nodes that lead to the twig.
     """
 
     def __init__(self, branches: int, fan: int, levels: int, weights: np.ndarray):
         self.branches, self.fan, self.levels = branches, fan, levels
         self.below = fan ** (levels - 1)  # twigs of a branch
+        self.leaves = self.below * (fan + 1)
         twig = np.arange(branches * self.below)
         nodes, sums = [weights], weights.sum(axis=1)
         for _ in range(levels - 1):
             nodes.append(sums.reshape(-1, fan))
             sums = nodes[-1].sum(axis=1)
-        nodes.append(sums[None, :])
-        nodes.reverse()  # of the root, of each branch, and so on down to each twig
+        nodes.reverse()  # of each branch, and so on down to each twig
         with np.errstate(divide="ignore"):
+            self.top = np.maximum(np.log(sums), NEVER).astype(np.float32)
             self.rows = np.concatenate([np.maximum(np.log(x), NEVER).astype(np.float32).repeat(len(twig) // len(x), axis=0) for x in nodes], axis=1)
-        own = [twig // self.below, *(twig // fan**k % fan + branches + (levels - 2 - k) * fan for k in range(levels - 2, -1, -1))]
-        self.ways = np.stack(own, axis=1)
-        self.first_leaf = branches + (levels - 1) * fan
-        level = np.minimum(np.maximum(np.arange(self.rows.shape[1]) - branches, -1) // fan + 1, levels)
-        self.level = (level[:, None] == np.arange(levels + 1)).astype(np.float32)  # columns x levels
+        self.ways = np.stack([twig // fan**k % fan + (levels - 2 - k) * fan for k in range(levels - 2, -1, -1)], axis=1) if levels > 1 else np.zeros((len(twig), 0), int)
+        self.first_leaf = (levels - 1) * fan
+        level = np.minimum(np.arange(self.rows.shape[1]) // fan, levels - 1)
+        self.level = (level[:, None] == np.arange(levels)).astype(np.float32)  # columns x levels
 
 
 @dataclass
@@ -61,7 +62,19 @@ class Shape:
         h, c, k = self.hidden, len(self.edges) - 1, self.tree.branches if self.tree else 0
         own = {"x": (self.words + k, 3 * h), "wh": (h, 3 * h), "wc": (h, c), "bc": (c,), "u": (self.words, h), "b": (self.words,)}
         # What the state, and a constant, give the branches, and those of each branch the nodes below it, level by level.
-        return own | {"ub": (h + 1, k), "ut": (k, h + 1, self.tree.rows.shape[1] - k)} if k else own
+        return own | {"ub": (h + 1, k), "ut": (k, h + 1, self.tree.rows.shape[1])} if k else own
+
+    @functools.cached_property
+    def keys(self) -> np.ndarray:
+        """By id: the class of a word; the number of classes and the branch of a leaf."""
+        own = np.arange(len(self.edges) - 1).repeat(np.diff(self.edges))
+        return np.concatenate([own, len(self.edges) - 1 + np.arange(self.tree.branches).repeat(self.tree.leaves)] if self.tree else [own]).astype(np.uint16)
+
+    @functools.cached_property
+    def inputs(self) -> np.ndarray:
+        """By id: the row of gate inputs."""
+        own = np.arange(self.words)
+        return np.concatenate([own, self.words + np.arange(self.tree.branches).repeat(self.tree.leaves)] if self.tree else [own]).astype(np.int32)
 
 
 def classes_of(counts: np.ndarray, classes: int) -> np.ndarray:
@@ -119,34 +132,10 @@ def lanes(docs: list[np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray, np
     return target, of, size[order]
 
 
-def _sigmoid(a: np.ndarray) -> np.ndarray:
-    np.negative(a, out=a)
-    np.exp(a, out=a)
-    a += 1
-    return np.reciprocal(a, out=a)
-
-
-def _softmax(a: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    """softmax(a + bias), in place; the logits of this model are far from the bounds they are held to."""
-    a += bias
-    np.clip(a, -80, 80, out=a)
-    np.exp(a, out=a)
-    a /= (a @ np.ones(a.shape[1], np.float32))[:, None]
-    return a
-
-
-def _log_prob(a: np.ndarray, bias: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """log softmax(a + bias) at own."""
-    a += bias
-    np.clip(a, -80, 80, out=a)
-    mine = a[np.arange(len(own)), own]
-    np.exp(a, out=a)
-    return mine - np.log(a @ np.ones(a.shape[1], np.float32))
-
-
 @dataclass
 class Window:
-    """What output and backpropagation need of a window: arrays of steps x lanes (x hidden)."""
+    """What output and backpropagation need of a window: arrays of steps x lanes, or steps x hidden x lanes, so that a step's
+    gates are whole rows of lanes; h is hidden x steps x lanes."""
 
     word: np.ndarray  # the word read at each step
     stay: np.ndarray  # whether the state is carried into it
@@ -163,30 +152,53 @@ class Window:
 def _windows(shape: Shape, p: dict[str, np.ndarray], target: np.ndarray, of: np.ndarray, size: np.ndarray, end: int) -> Iterator[Window]:
     """Runs the gates window by window; the state is carried from one to the next."""
     hid = shape.hidden
-    h = np.zeros((target.shape[1], hid), np.float32)
+    h = np.zeros((hid, target.shape[1]), np.float32)
     for t0 in range(0, len(target), WINDOW):
         live = int(np.searchsorted(-size, -t0, side="left"))  # lanes longer than t0
-        h, tgt, doc = h[:live], target[t0 : t0 + WINDOW, :live], of[t0 : t0 + WINDOW, :live]
+        h, tgt, doc = h[:, :live], target[t0 : t0 + WINDOW, :live], of[t0 : t0 + WINDOW, :live]
         new, word = np.ones(tgt.shape, bool), np.full(tgt.shape, end, np.int32)
         new[1:] = doc[1:] != doc[:-1]
         word[1:] = np.where(new[1:], end, tgt[:-1])
         if t0:
             new[0] = doc[0] != of[t0 - 1, :live]
             word[0] = np.where(new[0], end, target[t0 - 1, :live])
-        if shape.tree:
-            word = np.where(word < shape.words, word, shape.words + (word - shape.words) // ((shape.tree.fan + 1) * shape.tree.below))
-        stay = (~new).astype(np.float32)[:, :, None]
-        gx = p["x"].take(word, axis=0)
-        before, z, r, c, gate, out = (np.empty((*tgt.shape, hid), np.float32) for _ in range(6))
+        stay = (~new).astype(np.float32)
+        # Both gates are 1 / (1 + exp(-a)): their inputs are turned once for the window.
+        gx = np.ascontiguousarray(p["x"].take(word := shape.inputs.take(word), axis=0).transpose(0, 2, 1))
+        wh = p["wh"].T.copy()
+        np.negative(gx[:, : 2 * hid], out=gx[:, : 2 * hid])
+        np.negative(wh[: 2 * hid], out=wh[: 2 * hid])
+        before, c, out = (np.empty(x, np.float32) for x in ((len(tgt), hid, live), (len(tgt), hid, live), (hid, len(tgt), live)))
+        gh, zr, part = np.empty((len(tgt), 3 * hid, live), np.float32), np.empty((len(tgt), 2 * hid, live), np.float32), np.empty((hid, live), np.float32)
         for k in range(len(tgt)):
-            np.multiply(h, stay[k], out=before[k])
-            gh = before[k] @ p["wh"]
-            zr = _sigmoid(gx[k, :, : 2 * hid] + gh[:, : 2 * hid])
-            z[k], r[k], gate[k] = zr[:, :hid], zr[:, hid:], gh[:, 2 * hid :]
-            np.tanh(gx[k, :, 2 * hid :] + r[k] * gate[k], out=c[k])
-            np.add(c[k], z[k] * (before[k] - c[k]), out=out[k])
-            h = out[k]
-        yield Window(word, stay, before, z, r, c, gate, out, tgt, doc)
+            b, g, s, o = before[k], gh[k], zr[k], out[:, k]
+            np.multiply(h, stay[k], out=b)
+            np.matmul(wh, b, out=g)
+            np.add(gx[k, : 2 * hid], g[: 2 * hid], out=s)
+            np.exp(s, out=s)
+            s += 1
+            np.reciprocal(s, out=s)
+            np.multiply(s[hid:], g[2 * hid :], out=part)
+            part += gx[k, 2 * hid :]
+            np.tanh(part, out=c[k])
+            np.subtract(b, c[k], out=o)
+            o *= s[:hid]
+            o += c[k]
+            h = o
+        yield Window(word, stay, before, zr[:, :hid], zr[:, hid:], c, gh[:, 2 * hid :], out, tgt, doc)
+
+
+@dataclass
+class Outputs:
+    """A window's targets in order of class, leaves after the words and in order of branch."""
+
+    at: np.ndarray  # where they are in the window
+    target: np.ndarray
+    own: np.ndarray  # the states there, with a constant: (hidden + 1) x targets
+    classes: list[tuple[int, int, int]]  # class, and where it begins and ends
+    branches: list[tuple[int, int, int]]  # as for classes, counted from the first leaf
+    words: int  # where the last class begins, which is one id or the leaves
+    leaf: int  # where the leaves begin
 
 
 def _order(x: np.ndarray) -> np.ndarray:
@@ -194,32 +206,87 @@ def _order(x: np.ndarray) -> np.ndarray:
     return np.argsort(x.astype(np.uint16) if len(x) and x.max() < 1 << 16 else x, kind="stable")
 
 
-def _by_class(shape: Shape, tgt: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
-    cls = np.arange(len(shape.edges) - 1).repeat(np.diff(shape.edges)).take(tgt, mode="clip")  # all leaves are in the last class
-    order = _order(cls)
-    cuts = np.searchsorted(cls.take(order), np.arange(len(shape.edges)))
-    return cls, [(c, order[a:b]) for c, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
-
-
-def _leaves(shape: Shape, p: dict[str, np.ndarray], h: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, ...] | None:
-    """Of the targets that are leaves, sorted: their rows; states with a constant; where those of each branch begin and end;
-    logits of all nodes to choose from; and the columns of those chosen."""
-    rows = np.flatnonzero(t >= shape.words)
-    if not len(rows):
-        return None
-    tree = shape.tree
-    rows = rows[np.argsort(t[rows])]
-    twig, leaf = np.divmod(t[rows] - shape.words, tree.fan + 1)
-    at = np.searchsorted(twig, np.arange(tree.branches + 1) * tree.below).tolist()
-    cuts = [(c, x, y) for c, (x, y) in enumerate(zip(at, at[1:], strict=False)) if y > x]
-    own = np.ones((len(rows), shape.hidden + 1), np.float32)
-    own[:, :-1] = h.take(rows, axis=0)
-    a = tree.rows.take(twig, axis=0)
-    a[:, : tree.branches] += own @ p["ub"]
+def _outputs(shape: Shape, w: Window) -> Outputs:
+    at, n = np.flatnonzero(w.doc >= 0), len(shape.edges) - 1
+    t = w.target.ravel().take(at)
+    key = shape.keys.take(t)
+    order = np.argsort(key, kind="stable")
+    at = at.take(order)
+    own = np.empty((shape.hidden + 1, len(at)), np.float32)
+    w.h.reshape(shape.hidden, -1).take(at, axis=1, out=own[:-1], mode="clip")
+    own[-1] = 1
+    cuts = [0, *np.cumsum(np.bincount(key, minlength=n + (shape.tree.branches if shape.tree else 0))).tolist()]
+    classes = [(c, x, y) for c, (x, y) in enumerate(zip(cuts, [*cuts[1:n], len(at)], strict=False)) if y > x]
+    branches = [(c, x - cuts[n], y - cuts[n]) for c, (x, y) in enumerate(zip(cuts[n:], cuts[n + 1 :], strict=False)) if y > x]
+    return Outputs(at, t.take(order), own, classes, branches, cuts[n - 1], cuts[n])
+
+
+def _held(a: np.ndarray) -> np.ndarray:
+    """The logits of this model are far from the bounds they are held to."""
+    return a.clip(-80, 80, out=a)
+
+
+def _head(p: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """What the state, and a constant, give the classes, and the words."""
+    return np.vstack([p["wc"], p["bc"]]), np.vstack([p["u"].T, p["b"]])
+
+
+def _words(shape: Shape, words: np.ndarray, o: Outputs) -> tuple[list[tuple[int, int, int, int, np.ndarray]], np.ndarray, np.ndarray, np.ndarray]:
+    """Of the targets that are words: (first and last id, where they begin and end, logits: targets x words) of each class; all
+    of these in one flat array; where each target's begin there; and the places of those chosen."""
+    own = [(x, y, shape.edges[c], shape.edges[c + 1]) for c, x, y in o.classes if x < o.words]
+    width = np.array([hi - lo for _, _, lo, hi in own]).repeat([y - x for x, y, _, _ in own])
+    ends = np.cumsum(width)
+    flat, groups, used = np.empty(ends[-1], np.float32), [], 0
+    for x, y, lo, hi in own:
+        a = flat[used : (used := used + (y - x) * (hi - lo))].reshape(y - x, hi - lo)
+        np.matmul(o.own[:, x:y].T, words[:, lo:hi], out=a)
+        groups.append((lo, hi, x, y, a))
+    ends -= width
+    return groups, _held(flat), ends, ends + o.target[: o.words] - np.array([lo for _, _, lo, _ in own]).repeat([y - x for x, y, _, _ in own])
+
+
+def _branches(shape: Shape, p: dict[str, np.ndarray]) -> np.ndarray:
+    """What the state, and a constant, give the branches."""
+    out = p["ub"].copy()
+    out[-1] += shape.tree.top
+    return out
+
+
+def _leaves(shape: Shape, give: np.ndarray, o: Outputs) -> tuple[np.ndarray, np.ndarray]:
+    """Of the targets that are leaves: logits of all nodes to choose from below the branch, and the places of those chosen, in the flat array."""
+    tree, own = shape.tree, o.own[:, o.leaf :]
+    twig, leaf = np.divmod(o.target[o.leaf :] - shape.words, tree.fan + 1)
+    a = np.empty((len(twig), tree.rows.shape[1]), np.float32)
+    for c, x, y in o.branches:
+        np.matmul(own[:, x:y].T, give[c], out=a[x:y])
+    a += tree.rows.take(twig, axis=0)
+    way = np.empty((len(twig), tree.levels), np.intp)
+    way[:, :-1] = tree.ways.take(twig, axis=0)
+    way[:, -1] = leaf + tree.first_leaf
+    way += np.arange(0, a.size, a.shape[1])[:, None]
+    return _held(a), way
+
+
+def _log_prob(give: np.ndarray, own: np.ndarray, cuts: list[tuple[int, int, int]]) -> np.ndarray:
+    """log softmax of what own states give, at the choices in cuts (choice, and where its targets begin and end)."""
+    a, out = _held(give.T @ own), np.empty(own.shape[1], np.float32)
     for c, x, y in cuts:
-        a[x:y, tree.branches :] += own[x:y] @ p["ut"][c]
-    np.clip(a, -80, 80, out=a)
-    return rows, own, cuts, a, np.concatenate([tree.ways.take(twig, axis=0), (tree.first_leaf + leaf)[:, None]], axis=1)
+        out[x:y] = a[c, x:y]
+    out -= np.log(np.exp(a, out=a).sum(axis=0))
+    return out
+
+
+def _pull(give: np.ndarray, own: np.ndarray, cuts: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The gradients of -_log_prob() by give and by the states."""
+    a = _held(give.T @ own)
+    total = np.exp(a, out=a).sum(axis=0)
+    for c, x, y in cuts:
+        a[c, x:y] -= total[x:y]
+    np.reciprocal(total, out=total)
+    by_state = give[:-1] @ a
+    by_state *= total
+    return (a @ (own * total).T).T, by_state
 
 
 def score(shape: Shape, v: np.ndarray, docs: list[np.ndarray], end: int, most: int = 512) -> np.ndarray:
@@ -229,21 +296,20 @@ def score(shape: Shape, v: np.ndarray, docs: list[np.ndarray], end: int, most: i
         return out
     p = unflat(shape, v)
     target, of, size = lanes(docs, most)
+    classes, words = _head(p)
     for w in _windows(shape, p, target, of, size, end):
-        real = (w.doc >= 0).ravel()
-        h = w.h.reshape(-1, shape.hidden)[real]
-        t, d = w.target.ravel()[real], w.doc.ravel()[real]
-        cls, groups = _by_class(shape, t)
-        lp = _log_prob(h @ p["wc"], p["bc"], cls)
-        for c, rows in groups:
-            lo, hi = shape.edges[c], shape.edges[c + 1]
-            if hi - lo > 1:
-                lp[rows] += _log_prob(h.take(rows, axis=0) @ p["u"][lo:hi].T, p["b"][lo:hi], t[rows] - lo)
-        if shape.tree and (x := _leaves(shape, p, h, t)):
-            rows, _, _, a, way = x
-            lp[rows] += np.take_along_axis(a, way, axis=1).sum(axis=1)
-            lp[rows] -= np.log(np.exp(a, out=a) @ shape.tree.level).sum(axis=1)
-        out += np.bincount(d, weights=lp, minlength=len(docs))
+        o = _outputs(shape, w)
+        lp = _log_prob(classes, o.own, o.classes)
+        if o.words:
+            _, a, starts, chosen = _words(shape, words, o)
+            lp[: o.words] += a.take(chosen)
+            lp[: o.words] -= np.log(np.add.reduceat(np.exp(a, out=a), starts))
+        if o.branches:
+            lp[o.leaf :] += _log_prob(_branches(shape, p), o.own[:, o.leaf :], o.branches)
+            a, way = _leaves(shape, p["ut"], o)
+            lp[o.leaf :] += a.ravel().take(way).sum(axis=1)
+            lp[o.leaf :] -= np.log(np.exp(a, out=a) @ shape.tree.level).sum(axis=1)
+        out += np.bincount(w.doc.ravel().take(o.at), weights=lp, minlength=len(docs))
     return out
 
 
@@ -256,60 +322,61 @@ def _add_rows(g: np.ndarray, at: np.ndarray, x: np.ndarray) -> None:
 
 def gradients(shape: Shape, p: dict[str, np.ndarray], w: Window, g: dict[str, np.ndarray]) -> int:
     """Sets g to the gradient of the window's negative log-likelihood, with the carried state held fixed, and returns its tokens."""
-    hid = shape.hidden
-    real = (w.doc >= 0).ravel()
-    h = w.h.reshape(-1, hid)[real]
-    t = w.target.ravel()[real]
+    hid, (_, steps, live) = shape.hidden, w.h.shape
+    o = _outputs(shape, w)
     for x in g.values():
         x[...] = 0
-    cls, groups = _by_class(shape, t)
-    a = _softmax(h @ p["wc"], p["bc"])
-    a[np.arange(len(t)), cls] -= 1
-    g["wc"] += h.T @ a
-    g["bc"] += a.sum(axis=0)
-    dr = a @ p["wc"].T
-    for c, rows in groups:
-        lo, hi = shape.edges[c], shape.edges[c + 1]
-        if hi - lo > 1:
-            own = h.take(rows, axis=0)
-            a = _softmax(own @ p["u"][lo:hi].T, p["b"][lo:hi])
-            a[np.arange(len(rows)), t[rows] - lo] -= 1
-            g["u"][lo:hi] = a.T @ own
-            g["b"][lo:hi] = a.sum(axis=0)
-            dr[rows] += a @ p["u"][lo:hi]
-    if shape.tree and (x := _leaves(shape, p, h, t)):
-        rows, own, cuts, a, way = x
+    n = len(o.at)
+    dr = np.zeros((hid, n + 1), np.float32)  # the last column is for steps without a target
+    classes, words = _head(p)
+    both, dr[:, :n] = _pull(classes, o.own, o.classes)
+    g["wc"] += both[:-1]
+    g["bc"] += both[-1]
+    if o.words:
+        groups, a, starts, chosen = _words(shape, words, o)
+        total = np.add.reduceat(np.exp(a, out=a), starts)
+        a[chosen] -= total
+        np.reciprocal(total, out=total)
+        own, by_state = o.own[:, : o.words] * total, np.empty((hid, o.words), np.float32)
+        for lo, hi, x, y, a in groups:
+            words_g = own[:, x:y] @ a
+            g["u"][lo:hi] = words_g[:-1].T
+            g["b"][lo:hi] = words_g[-1]
+            np.matmul(words[:-1, lo:hi], a.T, out=by_state[:, x:y])
+        by_state *= total
+        dr[:, : o.words] += by_state
+    if o.branches:
+        own = o.own[:, o.leaf :]
+        g["ub"][...], by_state = _pull(_branches(shape, p), own, o.branches)
+        a, way = _leaves(shape, p["ut"], o)
         np.exp(a, out=a)
         a *= np.reciprocal(a @ shape.tree.level) @ shape.tree.level.T
-        a[np.arange(len(rows))[:, None], way] -= 1
-        top, a = a[:, : shape.tree.branches], a[:, shape.tree.branches :]
-        g["ub"] += own.T @ top
-        d = top @ p["ub"][:-1].T
-        for c, lo, hi in cuts:
-            g["ut"][c] = own[lo:hi].T @ a[lo:hi]
-            d[lo:hi] += a[lo:hi] @ p["ut"][c, :-1].T
-        dr[rows] += d
-    dh = np.zeros((len(real), hid), np.float32)
-    dh[real] = dr
-    dh = dh.reshape(w.h.shape)
-    # Factors of each step's gradient that don't depend on later steps.
-    by_c = (1 - w.z) * (1 - w.c * w.c)
-    by_z = (w.before - w.c) * w.z * (1 - w.z)
-    by_r = w.gate * w.r * (1 - w.r)
-    dx, dgh = np.empty((*w.word.shape, 3 * hid), np.float32), np.empty((*w.word.shape, 3 * hid), np.float32)
-    later = np.zeros_like(dh[0])
-    for k in range(len(dh) - 1, -1, -1):
-        d = dh[k] + later
-        dc = d * by_c[k]
-        dx[k, :, :hid] = d * by_z[k]
-        dx[k, :, hid : 2 * hid] = dc * by_r[k]
-        dx[k, :, 2 * hid :] = dc
-        dgh[k, :, : 2 * hid] = dx[k, :, : 2 * hid]
-        dgh[k, :, 2 * hid :] = dc * w.r[k]
-        later = (d * w.z[k] + dgh[k] @ p["wh"].T) * w.stay[k]
-    g["wh"] += w.before.reshape(-1, hid).T @ dgh.reshape(-1, 3 * hid)
-    _add_rows(g["x"], w.word.ravel(), dx.reshape(-1, 3 * hid))
-    return len(t)
+        a.ravel()[way] -= 1
+        for c, x, y in o.branches:
+            np.matmul(own[:, x:y], a[x:y], out=g["ut"][c])
+            by_state[:, x:y] += p["ut"][c, :-1] @ a[x:y].T
+        dr[:, o.leaf : n] += by_state
+    back = np.full(steps * live, n)
+    back[o.at] = np.arange(n)
+    dh = dr.take(back, axis=1, mode="clip").reshape(hid, steps, live)
+    # Factors of each step's gradient that don't depend on later steps: of z, r, the candidate's gate and the candidate.
+    by = np.empty((steps, 4, hid, live), np.float32)
+    np.multiply((w.before - w.c) * w.z, 1 - w.z, out=by[:, 0])
+    np.subtract(1, w.c * w.c, out=by[:, 3])
+    by[:, 3] *= 1 - w.z
+    np.multiply(by[:, 3], w.r, out=by[:, 2])
+    np.multiply(by[:, 2] * w.gate, 1 - w.r, out=by[:, 1])
+    later = np.zeros((hid, live), np.float32)
+    for k in range(steps - 1, -1, -1):
+        later += dh[:, k]
+        by[k] *= later
+        later *= w.z[k]
+        later += p["wh"] @ by[k, :3].reshape(3 * hid, live)
+        later *= w.stay[k]
+    g["wh"] += np.matmul(w.before, by[:, :3].reshape(steps, 3 * hid, live).transpose(0, 2, 1)).sum(axis=0)
+    by[:, 2] = by[:, 3]
+    _add_rows(g["x"], w.word.ravel(), by[:, :3].reshape(steps, 3 * hid, live).transpose(0, 2, 1).reshape(-1, 3 * hid))
+    return n
 
 
 def train(shape: Shape, v: np.ndarray, docs: list[np.ndarray], end: int, square: np.ndarray, rate: float = 0.1, most: int = 256) -> int:
@@ -318,17 +385,20 @@ def train(shape: Shape, v: np.ndarray, docs: list[np.ndarray], end: int, square:
         return 0
     most = min(most, max(32, sum(map(len, docs)) // (64 * WINDOW)))  # few tokens: smaller steps, but enough of them
     p, seen = unflat(shape, v), 0
-    flat_g = np.zeros_like(v)
+    flat_g, root = np.zeros_like(v), np.empty_like(v)
     g = unflat(shape, flat_g)
     target, of, size = lanes(docs, most)
     # A window of few lanes (the rest of the longest documents) counts by its tokens, not as much as a full one.
     scale = np.float32(64 / (WINDOW * len(size)))
     for w in _windows(shape, p, target, of, size, end):
         n = gradients(shape, p, w, g)
-        step = np.clip(flat_g * scale, -1, 1)
-        square += step * step
-        step *= np.float32(rate)
-        step /= np.sqrt(square + np.float32(1e-6))
-        v -= step
+        flat_g *= scale
+        flat_g.clip(-1, 1, out=flat_g)
+        np.multiply(flat_g, flat_g, out=root)
+        square += root
+        np.sqrt(np.add(square, np.float32(1e-6), out=root), out=root)
+        flat_g *= np.float32(rate)
+        flat_g /= root
+        v -= flat_g
         seen += n
     return seen

@@ -200,6 +200,25 @@ def test_model_with_leaves_equals_plain_loops():
         assert abs((up - down) / 2e-4 - total[k]) < 5e-3
 
 
+def test_model_passes_do_not_grow_with_classes(monkeypatch):
+    rng, calls = np.random.default_rng(17), []
+
+    class Counted:
+        def __getattr__(self, name):
+            return (lambda *a, **k: calls.append(1) or np.exp(*a, **k)) if name == "exp" else getattr(np, name)
+
+    shape = gru.Shape(61, 3, gru.classes_of(np.ones(61), 20), gru.Tree(8, 3, 2, rng.random((24, 4)) + 0.1))
+    ids = np.array([*range(60), *range(61, 61 + 96)])
+    docs = [np.append(rng.choice(ids, 63), 1).astype(np.int32) for _ in range(32)]
+    v = gru.start(shape, np.ones(61))
+    monkeypatch.setattr(gru, "np", Counted())
+    # One for the gates of each step; for each of the 4 windows those of all classes, words, branches and leaves.
+    for run in (lambda: gru.score(shape, v, docs, 1), lambda: gru.train(shape, v, docs, 1, np.zeros_like(v))):
+        calls.clear()
+        run()
+        assert len(shape.edges) > 20 and len(calls) <= 64 + 4 * 4
+
+
 def test_the_model_tells_rare_words_apart(spark, monkeypatch):
     monkeypatch.setattr(lm_score, "MODEL", 6)
     monkeypatch.setattr(lm_score, "KNOWN", 30)
